@@ -143,9 +143,9 @@ def cumulative(pmf: DataFrame, group: Sequence[str], order: Sequence[str], p: st
     ups = running(pmf, group, [F.col(o) for o in order], {"hi": ("sum", F.col(p))})
     downs = ups.withColumn("lo", F.col("hi") - F.col(p))
     last = downs.groupBy(*group).agg(F.max("hi").alias("_top"))
+    both = downs.join(last, list(group)) if group else downs.crossJoin(F.broadcast(last))      # one row
     # Rounding must not leave a gap below 1.
-    return (downs.join(last, list(group)).withColumn("hi", F.when(F.col("hi") == F.col("_top"), F.lit(2.0))
-                                                     .otherwise(F.col("hi"))).drop("_top"))
+    return both.withColumn("hi", F.when(F.col("hi") == F.col("_top"), F.lit(2.0)).otherwise(F.col("hi"))).drop("_top")
 
 
 def cdf_lookup(draws: DataFrame, cdf: DataFrame, on: Sequence[str], u: str, values: Sequence[str]) -> DataFrame:
@@ -161,7 +161,7 @@ def cdf_lookup(draws: DataFrame, cdf: DataFrame, on: Sequence[str], u: str, valu
         *on, "lo", "hi", *values,
         F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(final, F.lit(GRID - 1)))).alias("_cell"))
     keys = [*on, "_cell"]
-    joined = draws.withColumn("_cell", cell).join(gridded, keys)
+    joined = draws.withColumn("_cell", cell).join(gridded, keys)      # keys are evenly spread
     return joined.filter((F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi"))).drop("_cell", "lo", "hi")
 
 

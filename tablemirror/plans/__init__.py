@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from tablemirror.plans import encode_queries, profile_queries, sample_queries, score_queries  # noqa: F401
+from tablemirror.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
