@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,7 @@ from tablemirror.operators.profile import fitted_vocabularies, long_form, sorted
 from tablemirror.schema import CATEGORICAL, NUMERICAL, ORDINAL, TableMeta
 
 CLIP = 0.99
+SMOOTH = 1e-6      # added to every component probability before the draw
 SIDES = (4, 8, 16, 24, 32)
 
 
@@ -51,28 +53,25 @@ class MixtureEncoder:
     def layout(self) -> list[tuple[int, str]]:
         return [(1, "tanh"), (len(self.means), "softmax")]
 
-    def component(self, x: Column, u: Column) -> Column:
-        """Component drawn by its (slightly smoothed) posterior."""
-        logs = F.array(*[F.lit(o) - F.pow((x - F.lit(m)) / F.lit(s), 2) / 2
-                         for o, m, s in zip(self.offsets, self.means, self.sigmas)])
-        raw = F.transform(logs, lambda v: F.exp(v - F.array_max(logs)))
-        total = F.aggregate(raw, F.lit(0.0), lambda acc, v: acc + v)
-        smooth = F.transform(raw, lambda v: v / total + F.lit(1e-6))
-        target = u * F.aggregate(smooth, F.lit(0.0), lambda acc, v: acc + v)
-        start = F.struct(F.lit(0.0).alias("cum"), F.lit(-1).alias("i"), F.lit(-1).alias("hit"))
-        found = F.aggregate(smooth, start, lambda acc, v: F.struct(
-            (acc["cum"] + v).alias("cum"), (acc["i"] + 1).alias("i"),
-            F.when((acc["hit"] < 0) & (acc["cum"] + v > target), acc["i"] + 1).otherwise(acc["hit"]).alias("hit")))
-        return F.when(found["hit"] < 0, F.lit(len(self.means) - 1)).otherwise(found["hit"])
-
     def encode(self, key: Sequence[str]) -> Column:
-        x = F.col(self.column).cast("double")
-        k = self.component(x, uniform(self.seed, f"component:{self.column}", *key))
-        mean = F.element_at(literal_array(self.means), k + 1)
-        sigma = F.element_at(literal_array(self.sigmas), k + 1)
-        u = F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), (x - mean) / (F.lit(4.0) * sigma)))
-        hot = F.transform(F.sequence(F.lit(0), F.lit(len(self.means) - 1)), lambda i: (i == k).cast("double"))
-        return F.concat(F.array(u), hot)
+        """One vectorised Arrow function per column: the draw would repeat long expressions otherwise."""
+        means, sigmas, offsets = (np.array(v, dtype=float) for v in (self.means, self.sigmas, self.offsets))
+
+        @F.pandas_udf("array<double>")
+        def draw(x: pd.Series, u: pd.Series) -> pd.Series:
+            z = (x.to_numpy(dtype=float)[:, None] - means) / sigmas
+            logs = offsets - z ** 2 / 2
+            p = np.exp(logs - logs.max(axis=1, keepdims=True))
+            p = p / p.sum(axis=1, keepdims=True) + SMOOTH
+            upto = p.cumsum(axis=1)
+            k = np.minimum((upto <= u.to_numpy()[:, None] * upto[:, -1:]).sum(axis=1), len(means) - 1)
+            rows = np.arange(len(x))
+            out = np.zeros((len(x), len(means) + 1))
+            out[:, 0] = np.clip(z[rows, k] / 4.0, -CLIP, CLIP)
+            out[rows, k + 1] = 1.0
+            return pd.Series(list(out))
+
+        return draw(F.col(self.column).cast("double"), uniform(self.seed, f"component:{self.column}", *key))
 
     def decode(self, values: Column, noise: Column | None = None) -> Column:
         u = F.element_at(values, 1) if noise is None else F.element_at(values, 1) + noise

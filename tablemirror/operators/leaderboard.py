@@ -70,7 +70,7 @@ def summary(long: DataFrame, versions: Sequence[str], summarise: Callable[..., D
     ordered = sorted(versions, reverse=True)
     scored = summarise(long, by=["section", "version"])
     wide = scored.groupBy("section", "synthesizer").pivot("version", ordered).agg(F.first(value))
-    return wide.select("section", "synthesizer", *[F.coalesce(F.col(v).cast("string"), F.lit(NOT_EVALUATED)).alias(v)
+    return wide.select("section", "synthesizer", *[F.coalesce(F.col(f"`{v}`").cast("string"), F.lit(NOT_EVALUATED)).alias(v)
                                                    for v in ordered])
 
 

@@ -93,6 +93,8 @@ def fitted_vocabularies(df: DataFrame, columns: Sequence[str], limit: int = 10_0
 
     A column with more than ``limit`` values is refused: use the join based encoders for it.
     """
+    if not columns:
+        return {}
     counts = value_counts(df, columns)
     sizes = {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
     large = sorted(c for c, n in sizes.items() if n > limit)
