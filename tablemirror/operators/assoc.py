@@ -24,57 +24,60 @@ def _cell(a: str, b: str, value: Column) -> Column:
     return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), value.alias("value"))
 
 
-def numeric_association(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of all ordered pairs of different columns, from one aggregate."""
+def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add totals that have one row per group of ``by`` (a single row without groups)."""
+    return df.join(F.broadcast(small), list(by)) if by else df.crossJoin(F.broadcast(small))
+
+
+def numeric_association(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by..., col_a, col_b, value``: Pearson correlation of all ordered pairs, from one aggregate."""
     columns = list(columns)
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if len(columns) > WIDE:
+    doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    if len(columns) > WIDE and not by:
         vectors = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="skip").transform(doubles)
         matrix = Correlation.corr(vectors, "v").first()[0].toArray()     # columns x columns
         rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i != j]
         return df.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["col_a", "col_b", "value"]))
     pairs = list(combinations(range(len(columns)), 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, value double")
-    row = doubles.agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs])
+    row = doubles.groupBy(*by).agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs])
     cells = [_cell(columns[x], columns[y], F.col(f"r{i}_{j}")) for i, j in pairs for x, y in ((i, j), (j, i))]
-    return row.select(F.inline(F.array(*cells)))
+    return row.select(*by, F.inline(F.array(*cells)))
 
 
-def correlation_ratio(df: DataFrame, nominal: Sequence[str], numeric: Sequence[str]) -> DataFrame:
-    """``nominal, numeric, value``: eta, from group sizes and means of all pairs in one pass."""
+def correlation_ratio(df: DataFrame, nominal: Sequence[str], numeric: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by..., nominal, numeric, value``: eta, from group sizes and means of all pairs in one pass."""
     numeric = list(numeric)
-    totals = df.agg(*[a for i, c in enumerate(numeric) for a in (
+    totals = df.groupBy(*by).agg(*[a for i, c in enumerate(numeric) for a in (
         F.avg(F.col(c).cast("double")).alias(f"m{i}"),
         (F.var_pop(F.col(c).cast("double")) * F.count(c)).alias(f"t{i}"))])
-    groups = long_form(df, nominal, "string", keep=numeric).groupBy("name", "value").agg(
+    groups = long_form(df, nominal, "string", keep=[*by, *numeric]).groupBy(*by, "name", "value").agg(
         *[a for i, c in enumerate(numeric) for a in (F.avg(F.col(c).cast("double")).alias(f"gm{i}"),
                                                      F.count(c).alias(f"gn{i}"))])
-    joined = groups.crossJoin(F.broadcast(totals))       # one row of totals
-    between = joined.groupBy("name").agg(*[
+    joined = _attach(groups, totals, by)
+    between = joined.groupBy(*by, "name").agg(*[
         F.sqrt(F.coalesce(F.try_divide(
             F.sum(F.col(f"gn{i}") * (F.col(f"gm{i}") - F.col(f"m{i}")) * (F.col(f"gm{i}") - F.col(f"m{i}"))),
             F.first(f"t{i}")), F.lit(0.0))).alias(f"e{i}") for i in range(len(numeric))])
     cells = F.array(*[F.struct(F.lit(c).alias("numeric"), F.least(F.col(f"e{i}"), F.lit(1.0)).alias("value"))
                       for i, c in enumerate(numeric)])
-    return between.select(F.col("name").alias("nominal"), F.inline(cells))
+    return between.select(*by, F.col("name").alias("nominal"), F.inline(cells))
 
 
-def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``col_a, col_b, a, b, cnt`` for every unordered pair, and each column with itself."""
+def pair_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by..., col_a, col_b, a, b, cnt`` for every unordered pair, and each column with itself."""
     columns = list(columns)
-    texts = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000NULL")).alias(c) for c in columns])
+    texts = df.select(*by, *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000NULL")).alias(c) for c in columns])
     combinations_seen = texts.agg(F.approx_count_distinct(F.xxhash64(*columns))).first()[0]
     if combinations_seen <= COMBINED:
         # Combine equal rows first, so a combination meets every column pair once.
-        texts = texts.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+        texts = texts.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("_n"))
     else:
         # Too many combinations to be worth a shuffle: the pair counts combine on the map side.
         texts = texts.withColumn("_n", F.lit(1).cast("bigint"))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     cells = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(a).alias("a"), F.col(b).alias("b"))
                       for a, b in pairs])
-    return (texts.select("_n", F.inline(cells)).groupBy("col_a", "col_b", "a", "b")
+    return (texts.select(*by, "_n", F.inline(cells)).groupBy(*by, "col_a", "col_b", "a", "b")
             .agg(F.sum("_n").alias("cnt")))
 
 
@@ -84,35 +87,38 @@ def entropy(cnt: Column) -> Column:
     return F.log(F.sum(c)) - F.sum(c * F.log(c)) / F.sum(c)
 
 
-def theils_u(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Uncertainty coefficient U(col_a given col_b) for ordered pairs; 1 where col_a is constant."""
-    joint = pair_counts(df, columns).groupBy("col_a", "col_b").agg(entropy(F.col("cnt")).alias("h"))
+def theils_u(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by..., col_a, col_b, value``: uncertainty coefficient U(col_a given col_b) for ordered pairs;
+    1 where col_a is constant."""
+    joint = pair_counts(df, columns, by).groupBy(*by, "col_a", "col_b").agg(entropy(F.col("cnt")).alias("h"))
+    # One row per pair of columns: own entropies are those of a column with itself.
     own = joint.filter(F.col("col_a") == F.col("col_b"))
-    ha = F.broadcast(own.select("col_a", F.col("h").alias("ha")))       # one row per column
-    hb = F.broadcast(own.select("col_b", F.col("h").alias("hb")))
-    full = joint.filter(F.col("col_a") != F.col("col_b")).join(ha, "col_a").join(hb, "col_b")
+    ha = F.broadcast(own.select(*by, "col_a", F.col("h").alias("ha")))
+    hb = F.broadcast(own.select(*by, "col_b", F.col("h").alias("hb")))
+    full = joint.filter(F.col("col_a") != F.col("col_b")).join(ha, [*by, "col_a"]).join(hb, [*by, "col_b"])
     mutual = F.col("ha") + F.col("hb") - F.col("h")
     def u(h):
         return F.when(F.abs(h) < 1e-15, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(mutual, h))))
     cells = F.array(F.struct("col_a", "col_b", u(F.col("ha")).alias("value")),
                     F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), u(F.col("hb")).alias("value")))
-    return full.select(F.inline(cells))
+    return full.select(*by, F.inline(cells))
 
 
-def cramers_v(df: DataFrame, columns: Sequence[str], bias_correction: bool = True) -> DataFrame:
-    """Cramer's V for ordered pairs, optionally bias corrected."""
-    counts = pair_counts(df, columns)
+def cramers_v(df: DataFrame, columns: Sequence[str], bias_correction: bool = True,
+              by: Sequence[str] = ()) -> DataFrame:
+    """``by..., col_a, col_b, value``: Cramer's V for ordered pairs, optionally bias corrected."""
+    counts = pair_counts(df, columns, by)
     cells = counts.filter(F.col("col_a") != F.col("col_b"))
     own = counts.filter(F.col("col_a") == F.col("col_b"))
-    na = own.select("col_a", "a", F.col("cnt").alias("na"))
-    nb = own.select("col_b", "b", F.col("cnt").alias("nb"))
-    sizes = own.groupBy("col_a").agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum("cnt").cast("double").alias("n"))
+    na = own.select(*by, "col_a", "a", F.col("cnt").alias("na"))
+    nb = own.select(*by, "col_b", "b", F.col("cnt").alias("nb"))
+    sizes = own.groupBy(*by, "col_a").agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum("cnt").cast("double").alias("n"))
     # chi2 = n * (sum c^2 / (na * nb) - 1) needs only the cells that occur.
-    share = (cells.join(na, ["col_a", "a"]).join(nb, ["col_b", "b"]).groupBy("col_a", "col_b")
+    share = (cells.join(na, [*by, "col_a", "a"]).join(nb, [*by, "col_b", "b"]).groupBy(*by, "col_a", "col_b")
              .agg(F.sum(F.col("cnt").cast("double") * F.col("cnt") / (F.col("na").cast("double") * F.col("nb"))).alias("s")))
-    ka = F.broadcast(sizes.select("col_a", F.col("k").alias("ka"), "n"))
-    kb = F.broadcast(sizes.select(F.col("col_a").alias("col_b"), F.col("k").alias("kb")))
-    full = share.join(ka, "col_a").join(kb, "col_b")
+    ka = F.broadcast(sizes.select(*by, "col_a", F.col("k").alias("ka"), "n"))
+    kb = F.broadcast(sizes.select(*by, F.col("col_a").alias("col_b"), F.col("k").alias("kb")))
+    full = share.join(ka, [*by, "col_a"]).join(kb, [*by, "col_b"])
     phi2 = F.greatest(F.col("s") - 1, F.lit(0.0))
     if bias_correction:
         n1 = F.col("n") - 1
@@ -122,32 +128,34 @@ def cramers_v(df: DataFrame, columns: Sequence[str], bias_correction: bool = Tru
     else:
         top, bottom = phi2, F.least("ka", "kb") - 1
     v = F.coalesce(F.sqrt(F.try_divide(top, bottom)), F.lit(0.0))
-    both = full.select("col_a", "col_b", v.alias("value"))
-    return both.unionByName(both.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "value"))
+    both = full.select(*by, "col_a", "col_b", v.alias("value"))
+    return both.unionByName(both.select(*by, F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "value"))
 
 
-def association_matrix(df: DataFrame, meta: TableMeta, nominal: str = "theil") -> DataFrame:
-    """``col_a, col_b, value`` for all ordered pairs, 1 on the diagonal."""
+def association_matrix(df: DataFrame, meta: TableMeta, nominal: str = "theil", by: Sequence[str] = ()) -> DataFrame:
+    """``by..., col_a, col_b, value`` for all ordered pairs, 1 on the diagonal."""
     numeric, discrete = meta.numericals, meta.discretes
     diagonal = F.array(*[_cell(c, c, F.lit(1.0)) for c in meta.columns])
-    out = df.sparkSession.range(1).select(F.inline(diagonal))
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1)
+    out = groups.select(*by, F.inline(diagonal))
     if len(numeric) > 1:
-        out = out.unionByName(numeric_association(df, numeric))
+        out = out.unionByName(numeric_association(df, numeric, by))
     if len(discrete) > 1:
-        out = out.unionByName(theils_u(df, discrete) if nominal == "theil" else cramers_v(df, discrete))
+        out = out.unionByName(theils_u(df, discrete, by) if nominal == "theil" else cramers_v(df, discrete, by=by))
     if numeric and discrete:
-        eta = correlation_ratio(df, discrete, numeric)
+        eta = correlation_ratio(df, discrete, numeric, by)
         cells = F.array(F.struct(F.col("nominal").alias("col_a"), F.col("numeric").alias("col_b"), "value"),
                         F.struct(F.col("numeric").alias("col_a"), F.col("nominal").alias("col_b"), "value"))
-        out = out.unionByName(eta.select(F.inline(cells)))
+        out = out.unionByName(eta.select(*by, F.inline(cells)))
     return out
 
 
 def association_difference(pair: TablePair, nominal: str = "theil") -> DataFrame:
-    """``col_a, col_b, real, fake, diff`` with the absolute difference."""
-    real = association_matrix(pair.real, pair.meta, nominal).withColumnRenamed("value", "real")
-    fake = association_matrix(pair.fake, pair.meta, nominal).withColumnRenamed("value", "fake")
-    return real.join(fake, ["col_a", "col_b"]).withColumn("diff", F.abs(F.col("real") - F.col("fake")))
+    """``col_a, col_b, real, fake, diff`` with the absolute difference; both tables in one plan."""
+    both = association_matrix(pair.stacked(), pair.meta, nominal, ["origin"])
+    wide = both.groupBy("col_a", "col_b").agg(*[
+        F.max(F.when(F.col("origin") == o, F.col("value"))).alias(o) for o in ("real", "fake")])
+    return wide.withColumn("diff", F.abs(F.col("real") - F.col("fake")))
 
 
 def association_distance(difference: DataFrame) -> DataFrame:

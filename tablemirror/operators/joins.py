@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemirror.session import cut
+from tablemirror.session import cut, cut_counted
 
 BROADCAST_ROWS = 100_000
 HEAVY_SHARE = 0.001
@@ -23,8 +23,8 @@ def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "lef
     ``SALTS`` tasks by repeating only their lookup rows.
     """
     on = list(on)
-    table = cut(table)
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    table, size = cut_counted(table)
+    if size <= broadcast_rows:
         return rows.join(F.broadcast(table), on, how)
     counts = rows.groupBy(*on).count()
     total = rows.count()

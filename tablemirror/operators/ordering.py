@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemirror.session import cut
+from tablemirror.session import cut, cut_counted
 
 ROWS_PER_TASK = 1_000_000
 
@@ -31,14 +31,16 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     ``aggs`` maps a new column to ``(function, expression)``. The order must be total within a group
     (compress equal values to counts first), which also rules out a hot value.
     """
-    base = cut(df)
-    sizes = base.groupBy(*group).count().agg(F.max("count").alias("largest"), F.sum("count").alias("rows")).first()
-    if (sizes["largest"] or 0) <= rows_per_task:
+    base, rows = cut_counted(df)
+    largest = rows
+    if rows > rows_per_task:
+        largest = base.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= rows_per_task:
         window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return base.select("*", *[_AGGREGATES[fn][0](expr).over(window).alias(name)
                                   for name, (fn, expr) in aggs.items()])
 
-    ranges = math.ceil(sizes["rows"] / rows_per_task)
+    ranges = math.ceil(rows / rows_per_task)
     inputs = base.select("*", *[expr.alias(f"_in_{name}") for name, (_, expr) in aggs.items()])
     # Materialised, so that both readers below see the same ranges.
     ranged = cut(inputs.repartitionByRange(ranges, *[F.col(g) for g in group], *order)

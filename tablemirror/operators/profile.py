@@ -95,15 +95,13 @@ def fitted_vocabularies(df: DataFrame, columns: Sequence[str], limit: int = 10_0
     """
     if not columns:
         return {}
-    counts = value_counts(df, columns)
-    sizes = {r["name"]: r["n"] for r in counts.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()}
-    large = sorted(c for c, n in sizes.items() if n > limit)
-    if large:
-        raise ValueError(f"more than {limit} values in {large}: use the join based encoding")
-    # At most limit * len(columns) small rows.
+    most = limit * len(columns)
+    rows = value_counts(df, columns).limit(most + 1).collect()
     found: dict[str, list] = {c: [] for c in columns}
-    for r in counts.collect():
+    for r in rows:
         found[r["name"]].append((-r["cnt"] if by_count else 0, r["value"]))
+    if len(rows) > most or any(len(pairs) > limit for pairs in found.values()):
+        raise ValueError(f"a column of {list(columns)} has more than {limit} values: use the join based encoding")
     return {c: [v for _, v in sorted(pairs)] for c, pairs in found.items()}
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemirror.functions.scores import mape, spearman
+from tablemirror.functions.scores import mape
 from tablemirror.operators.joins import distinct_counts, expand_copies
 from tablemirror.operators.ordering import running
 from tablemirror.operators.profile import sorted_vocabulary, value_counts
@@ -20,20 +20,22 @@ _AGGREGATES = {
 }
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``name, median`` from value counts: equal values are combined before the shuffle and the two
-    middle values are found in the running count, so no column is gathered in one task."""
-    upto = running(value_counts(df, columns, "double"), ["name"], [F.col("value")], {"upto": ("sum", F.col("cnt"))})
-    sizes = F.broadcast(upto.groupBy("name").agg(F.max("upto").alias("n")))      # one row per column
+def exact_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by..., name, median`` from value counts: equal values are combined before the shuffle and the
+    two middle values are found in the running count, so no column is gathered in one task."""
+    keys = [*by, "name"]
+    upto = running(value_counts(df, columns, "double", keep=by), keys, [F.col("value")], {"upto": ("sum", F.col("cnt"))})
+    sizes = F.broadcast(upto.groupBy(*keys).agg(F.max("upto").alias("n")))      # one row per column
     first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     def holds(position):
         return F.when((F.col("upto") - F.col("cnt") < position) & (F.col("upto") >= position), F.col("value"))
-    return upto.join(sizes, "name").groupBy("name").agg(
+    return upto.join(sizes, keys).groupBy(*keys).agg(
         ((F.max(holds(first)) + F.max(holds(second))) / 2).alias("median"))
 
 
-def table_statistics(df: DataFrame, columns: Sequence[str], approximate_median: bool = False) -> DataFrame:
-    """``name, min, max, mean, median, std, var`` per numerical column; one pass plus the medians."""
+def table_statistics(df: DataFrame, columns: Sequence[str], approximate_median: bool = False,
+                     by: Sequence[str] = ()) -> DataFrame:
+    """``by..., name, min, max, mean, median, std, var`` per numerical column; one pass plus the medians."""
     columns = list(columns)
     aggs = [agg(F.col(c).cast("double")).alias(f"{s}{i}") for i, c in enumerate(columns) for s, agg in _AGGREGATES.items()]
     if approximate_median:
@@ -41,36 +43,35 @@ def table_statistics(df: DataFrame, columns: Sequence[str], approximate_median:
     names = [*_AGGREGATES, *(["median"] if approximate_median else [])]
     cells = F.array(*[F.struct(F.lit(c).alias("name"), *[F.col(f"{s}{i}").alias(s) for s in names])
                       for i, c in enumerate(columns)])
-    out = df.agg(*aggs).select(F.inline(cells))
+    out = df.groupBy(*by).agg(*aggs).select(*by, F.inline(cells))
     if not approximate_median:
-        out = out.join(exact_medians(df, columns), "name", "left")
-    return out.select("name", *STATISTICS)
+        out = out.join(exact_medians(df, columns, by), [*by, "name"], "left")
+    return out.select(*by, "name", *STATISTICS)
+
+
+def _side_by_side(stats: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``name, <stat>_real, <stat>_fake...`` from one row per (origin, name)."""
+    return stats.groupBy("name").agg(*[
+        F.max(F.when(F.col("origin") == o, F.col(s))).alias(f"{s}_{o}") for s in names for o in ("real", "fake")])
 
 
 def numeric_statistics(pair: TablePair, chosen: Sequence[str] = STATISTICS, approximate_median: bool = False) -> DataFrame:
     """``name, <stat>_real, <stat>_fake..., sum_diff``: the sum of absolute differences."""
-    sides = []
-    for origin, df in (("real", pair.real), ("fake", pair.fake)):
-        stats = table_statistics(df, pair.meta.numericals, approximate_median)
-        sides.append(stats.select("name", *[F.col(s).alias(f"{s}_{origin}") for s in STATISTICS]))
-    joined = sides[0].join(sides[1], "name")
+    wide = _side_by_side(table_statistics(pair.stacked(), pair.meta.numericals, approximate_median, ["origin"]), chosen)
     total = F.lit(0.0)
     for s in chosen:
         total = total + F.abs(F.col(f"{s}_real") - F.col(f"{s}_fake"))
-    return joined.select("name", *[f"{s}_{o}" for s in chosen for o in ("real", "fake")], total.alias("sum_diff"))
+    return wide.withColumn("sum_diff", total)
 
 
 def categorical_statistics(pair: TablePair) -> DataFrame:
     """``name, unique_*, top_*, freq_*, freq_diff``; top is the most frequent value (tie: the smallest)."""
-    def side(df: DataFrame, origin: str) -> DataFrame:
-        counts = value_counts(df, pair.meta.discretes)
-        return counts.groupBy("name").agg(
-            F.count(F.lit(1)).alias(f"unique_{origin}"),
-            F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("value"))).alias("_top")).select(
-            "name", f"unique_{origin}", F.col("_top.value").alias(f"top_{origin}"),
-            (-F.col("_top.neg")).alias(f"freq_{origin}"))
-    joined = side(pair.real, "real").join(side(pair.fake, "fake"), "name")
-    return joined.withColumn("freq_diff", F.col("freq_real") - F.col("freq_fake"))
+    counts = value_counts(pair.stacked(), pair.meta.discretes, keep=["origin"])
+    per_side = counts.groupBy("origin", "name").agg(
+        F.count(F.lit(1)).alias("unique"),
+        F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("value"))).alias("_top"))
+    flat = per_side.select("origin", "name", "unique", F.col("_top.value").alias("top"), (-F.col("_top.neg")).alias("freq"))
+    return _side_by_side(flat, ["unique", "top", "freq"]).withColumn("freq_diff", F.col("freq_real") - F.col("freq_fake"))
 
 
 def statistic_vectors(pair: TablePair) -> DataFrame:
@@ -103,19 +104,19 @@ def statistic_vectors(pair: TablePair) -> DataFrame:
 def statistical_similarity(pair: TablePair, method: str = "spearman") -> DataFrame:
     """``value``: similarity of the statistic vectors, weighted by the number of columns of each kind."""
     vectors = statistic_vectors(pair)
-    total = len(pair.meta.columns)
-    parts = None
-    for section, columns in (("numerical", pair.meta.numericals), ("discrete", pair.meta.discretes)):
-        if not columns:
-            continue
-        rows = vectors.filter(F.col("section") == section)
-        if method == "spearman":
-            one = spearman(rows, "real", "fake").select(F.col("spearman").alias("v"))
-        else:
-            one = rows.agg((1 - mape(F.col("real"), F.col("fake"))).alias("v"))
-        one = one.select((F.col("v") * F.lit(len(columns) / total)).alias("v"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.agg(F.sum("v").alias("value"))
+    if method == "spearman":
+        # A few rows per column of the tables, so the ranks come from plain windows.
+        ranked = vectors.select("section", _average_rank("real").alias("r"), _average_rank("fake").alias("f"))
+        scores = ranked.groupBy("section").agg(F.corr("r", "f").alias("v"))
+    else:
+        scores = vectors.groupBy("section").agg((1 - mape(F.col("real"), F.col("fake"))).alias("v"))
+    weight = F.when(F.col("section") == "numerical", F.lit(len(pair.meta.numericals))).otherwise(F.lit(len(pair.meta.discretes)))
+    return scores.agg((F.sum(F.col("v") * weight) / F.lit(len(pair.meta.columns))).alias("value"))
+
+
+def _average_rank(column: str):
+    ties = F.count(F.lit(1)).over(Window.partitionBy("section", column))
+    return F.rank().over(Window.partitionBy("section").orderBy(column)) + (ties - 1) / 2
 
 
 # ---------------------------------------------------------------- rows

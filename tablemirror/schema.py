@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMERICAL = "numerical"
@@ -62,6 +63,11 @@ class TablePair:
     fake: DataFrame
     meta: TableMeta
 
+    def stacked(self) -> DataFrame:
+        """Both tables with an ``origin`` column (real, fake), for plans that treat them in one go."""
+        real = self.real.select(F.lit("real").alias("origin"), *self.meta.columns)
+        return real.unionByName(self.fake.select(F.lit("fake").alias("origin"), *self.meta.columns))
+
     def select(self, *names: str) -> TablePair:
         drop = [n for n in self.meta.columns if n not in names]
         return TablePair(self.real.select(*names), self.fake.select(*names), self.meta.without(*drop))

@@ -4,15 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder and drop its lineage.
+    """Materialise ``df`` once in the shared checkpoint folder and drop its lineage."""
+    settle_folder(df)
+    return df.checkpoint(eager=True)
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows seen on the way.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local-mode session
-    without the setting gets a folder of its own.
+    The number only chooses between plans: a repeated task may count its rows twice.
     """
+    settle_folder(df)
+    seen = Observation()
+    done = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    return done, seen.get["rows"]
+
+
+def settle_folder(df: DataFrame) -> None:
+    """The folder is the one the session names in ``spark.checkpoint.dir``. Only a local-mode session
+    without the setting gets a folder of its own."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -22,4 +37,3 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="tablemirror-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
