@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemirror.functions.scores import cosine_distance, mae, mse, pairwise_rows, rmse
+from tablemirror.operators.joins import lookup
 from tablemirror.operators.profile import long_form
 from tablemirror.schema import TableMeta, TablePair
 
@@ -114,7 +115,8 @@ def cramers_v(df: DataFrame, columns: Sequence[str], bias_correction: bool = Tru
     nb = own.select(*by, "col_b", "b", F.col("cnt").alias("nb"))
     sizes = own.groupBy(*by, "col_a").agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum("cnt").cast("double").alias("n"))
     # chi2 = n * (sum c^2 / (na * nb) - 1) needs only the cells that occur.
-    share = (cells.join(na, [*by, "col_a", "a"]).join(nb, [*by, "col_b", "b"]).groupBy(*by, "col_a", "col_b")
+    sized = lookup(lookup(cells, na, [*by, "col_a", "a"], "inner"), nb, [*by, "col_b", "b"], "inner")
+    share = (sized.groupBy(*by, "col_a", "col_b")
              .agg(F.sum(F.col("cnt").cast("double") * F.col("cnt") / (F.col("na").cast("double") * F.col("nb"))).alias("s")))
     ka = F.broadcast(sizes.select(*by, "col_a", F.col("k").alias("ka"), "n"))
     kb = F.broadcast(sizes.select(*by, F.col("col_a").alias("col_b"), F.col("k").alias("kb")))
@@ -152,7 +154,14 @@ def association_matrix(df: DataFrame, meta: TableMeta, nominal: str = "theil", b
 
 def association_difference(pair: TablePair, nominal: str = "theil") -> DataFrame:
     """``col_a, col_b, real, fake, diff`` with the absolute difference; both tables in one plan."""
-    both = association_matrix(pair.stacked(), pair.meta, nominal, ["origin"])
+    if len(pair.meta.numericals) > WIDE:
+        # Too many numeric pairs for one grouped expression each: one matrix per table.
+        both = None
+        for origin, df in (("real", pair.real), ("fake", pair.fake)):
+            one = association_matrix(df, pair.meta, nominal).withColumn("origin", F.lit(origin))
+            both = one if both is None else both.unionByName(one)
+    else:
+        both = association_matrix(pair.stacked(), pair.meta, nominal, ["origin"])
     wide = both.groupBy("col_a", "col_b").agg(*[
         F.max(F.when(F.col("origin") == o, F.col("value"))).alias(o) for o in ("real", "fake")])
     return wide.withColumn("diff", F.abs(F.col("real") - F.col("fake")))

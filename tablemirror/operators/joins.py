@@ -16,7 +16,7 @@ SALTS = 64
 
 def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left",
            broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join many rows to a lookup table that has one row per key.
+    """Join many rows to a lookup table with one row (or a few) per key.
 
     A table of at most ``broadcast_rows`` rows is broadcast. A larger one is joined by shuffle; keys
     with more than a thousandth of the rows (so fewer than a thousand keys) are then spread over

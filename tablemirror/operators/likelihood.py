@@ -28,7 +28,7 @@ def topological(structure: Mapping[str, Sequence[str]]) -> list[str]:
 
 
 def conditional_tables(df: DataFrame, structure: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
-    """Per child: ``parents..., child, p`` from counts."""
+    """Per child: ``parents..., child, _p`` from counts."""
     nodes = list(structure)
     joint = df.select(*[F.col(c).cast("string").alias(c) for c in nodes]).groupBy(*nodes).agg(
         F.count(F.lit(1)).alias("_n"))
@@ -40,7 +40,7 @@ def conditional_tables(df: DataFrame, structure: Mapping[str, Sequence[str]]) ->
             both = both.join(above, list(parents))
         else:
             both = both.crossJoin(F.broadcast(both.agg(F.sum("_c").alias("_t"))))     # one row
-        out[child] = both.select(*parents, child, (F.col("_c") / F.col("_t")).alias("p"))
+        out[child] = both.select(*parents, child, (F.col("_c") / F.col("_t")).alias("_p"))
     return out
 
 
@@ -55,7 +55,7 @@ def bayes_net_log_likelihood(df: DataFrame, tables: Mapping[str, DataFrame],
         F.count(F.lit(1)).alias("_n"))
     p = F.lit(1.0)
     for i, (child, parents) in enumerate(structure.items()):
-        rows = lookup(rows, tables[child].withColumnRenamed("p", f"_p{i}"), [*parents, child])
+        rows = lookup(rows, tables[child].withColumnRenamed("_p", f"_p{i}"), [*parents, child])
         p = p * F.coalesce(F.col(f"_p{i}"), F.lit(0.0))
     return rows.agg((F.sum(F.log(p + F.lit(FLOOR)) * F.col("_n")) / F.sum("_n")).alias("loglik"))
 

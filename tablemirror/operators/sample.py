@@ -119,7 +119,8 @@ def conditional_sample(df: DataFrame, requests: DataFrame, columns: Sequence[str
                        seed: int = 0) -> DataFrame:
     """One random matching row per request ``(request, name, value)``: ``request, name, value, key...``.
 
-    A request for a category without rows gets none.
+    A request for a category without rows gets none. Requests spread over the rows of a category; if
+    most of them ask for a category with a single row, adaptive execution splits that join key.
     """
     sizes = value_counts(df, columns)
     u = uniform(seed, "condition", F.col("request"))
@@ -161,7 +162,7 @@ def cdf_lookup(draws: DataFrame, cdf: DataFrame, on: Sequence[str], u: str, valu
         *on, "lo", "hi", *values,
         F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(final, F.lit(GRID - 1)))).alias("_cell"))
     keys = [*on, "_cell"]
-    joined = draws.withColumn("_cell", cell).join(gridded, keys)      # keys are evenly spread
+    joined = lookup(draws.withColumn("_cell", cell), gridded, keys, "inner")
     return joined.filter((F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi"))).drop("_cell", "lo", "hi")
 
 

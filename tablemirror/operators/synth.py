@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemirror.functions.hashing import uniform
+from tablemirror.operators.joins import lookup
 from tablemirror.operators.likelihood import conditional_tables, topological
 from tablemirror.operators.profile import long_form, sorted_vocabulary
 from tablemirror.operators.sample import cdf_lookup, cumulative, dense_index, sample_with_replacement
@@ -45,7 +46,7 @@ def uniform_rows(df: DataFrame, meta: TableMeta, n: int, seed: int = 0) -> DataF
         for c in meta.discretes:
             code = F.floor(uniform(seed, f"uniform:{c}", F.col("draw")) * F.lit(sizes[c]))
             values = vocabulary.filter(F.col("name") == c).select(F.col("code").alias("_code"), F.col("value").alias(c))
-            rows = rows.withColumn("_code", code).join(values, "_code").drop("_code")
+            rows = lookup(rows.withColumn("_code", code), values, ["_code"], "inner").drop("_code")
     return rows.select("draw", *meta.columns)
 
 
@@ -71,7 +72,7 @@ def bayes_net_rows(df: DataFrame, structure: Mapping[str, Sequence[str]], n: int
     rows = df.sparkSession.range(n).withColumnRenamed("id", "draw")
     for child in topological(structure):
         parents = list(structure[child])
-        cdf = cumulative(tables[child].select(*parents, child, "p"), parents, [child])
+        cdf = cumulative(tables[child].select(*parents, child, "_p"), parents, [child], "_p").drop("_p")
         rows = cdf_lookup(rows.withColumn("_u", uniform(seed, f"net:{child}", F.col("draw"))), cdf,
                           parents, "_u", [child]).drop("_u")
     return rows.select("draw", *structure)
