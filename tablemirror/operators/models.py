@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tablemirror.functions.scores import class_f1, f1_binary, jaccard_micro, mape, r2, score_columns
 from tablemirror.operators.features import FeatureMaker
 from tablemirror.schema import TableMeta, TablePair
-from tablemirror.session import cut
+from tablemirror.session import cut, spread
 
 CLASS_SCORES = ("f1_score", "recall_score", "precision_score", "accuracy", "jaccard_similarity")
 REGRESSION_SCORES = ("mse", "rmse", "mae", "mape")
@@ -95,7 +95,7 @@ def fit_gbt(train: DataFrame, counts: dict[float, int], seed: int = 0, rounds: i
 def fit_adaboost(train: DataFrame, counts: dict[float, int], seed: int = 0, rounds: int = 50):
     """Discrete SAMME over decision stumps; the weights are a column, cut every few rounds."""
     k = max(2, len(counts))
-    data = train.withColumn("weight", F.lit(1.0 / sum(counts.values())))
+    data = spread(train.select("features", "label").withColumn("weight", F.lit(1.0 / sum(counts.values()))))
     votes: list[tuple] = []
     for i in range(rounds):
         stump = DecisionTreeClassifier(maxDepth=1, weightCol="weight", seed=seed + i).fit(data)
@@ -170,7 +170,7 @@ def cross_predictions(train: dict[str, DataFrame], test: dict[str, DataFrame], m
     """``model, trained_on, tested_on, key..., label, prediction`` for every model, training and test set."""
     out = None
     for origin, rows in train.items():
-        rows = cut(rows)
+        rows = spread(rows)
         for name in models:
             model = fit(name, rows, seed, **(params or {}).get(name, {}))
             for target, held in test.items():
@@ -234,7 +234,7 @@ def fake_to_real(pair: TablePair, test: DataFrame, models: Sequence[str] | None
     """
     problem = pair.meta.problem_type
     maker = FeatureMaker.fit(pair.real, pair.meta, classes=problem != "regression")
-    train, held = cut(maker.transform(pair.fake)), maker.transform(test)
+    train, held = spread(maker.transform(pair.fake)), maker.transform(test)
     defaults = {"binary_classification": BINARY_MODELS, "multiclass_classification": MULTICLASS_MODELS,
                 "regression": REGRESSION_MODELS}
     out = None

@@ -133,7 +133,8 @@ def copied_rows(pair: TablePair) -> DataFrame:
     columns = pair.meta.columns
     fake = distinct_counts(pair.fake.select(*columns))
     real = pair.real.select(*columns).distinct()
-    return fake.join(real, _same(fake, real, columns), "left_semi")
+    # Not a semi join: the optimizer would move that below the counting, onto rows with hot keys.
+    return fake.join(real, _same(fake, real, columns)).select(*[fake[c] for c in fake.columns])
 
 
 def copied_rows_expanded(pair: TablePair) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -19,6 +20,22 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return done, done.count()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``cut`` for compute-heavy rereading: a table in fewer partitions than cores is spread first."""
+    done = cut(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return done if done.rdd.getNumPartitions() >= cores else cut(done.repartition(cores))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: later readers take only the columns they need."""
+    settle_folder(df)
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def settle_folder(df: DataFrame) -> None:
     """The folder is the one the session names in ``spark.checkpoint.dir``. Only a local-mode session
     without the setting gets a folder of its own."""
