@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+WORTH_SPREADING = 50_000     # rows
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder and drop its lineage."""
     settle_folder(df)
@@ -21,10 +24,12 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``cut`` for compute-heavy rereading: a table in fewer partitions than cores is spread first."""
-    done = cut(df)
+    """``cut`` for compute-heavy rereading: many rows in fewer partitions than cores are spread first."""
+    done, rows = cut_counted(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return done if done.rdd.getNumPartitions() >= cores else cut(done.repartition(cores))
+    if rows < WORTH_SPREADING or done.rdd.getNumPartitions() >= cores:
+        return done
+    return cut(done.repartition(cores))
 
 
 def written(df: DataFrame) -> DataFrame:
