@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemirror.llm import html_text, licenses, topk, urls, warc
+from tablemirror.llm import html_text, licenses, minhash, topk, urls, warc
 from tablemirror.plans.registry import scratch, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op5(spark, folder):
     FROM p LEFT JOIN f USING (payload_digest)""")
 def op9(spark, folder):
     return warc.warc_round_trip(table(spark, folder, "pages"), scratch(spark, "warc"))
+
+
+@llm_query("op6_minhash_dedup")
+def op6(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))
