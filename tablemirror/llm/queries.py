@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemirror.llm import html_text, licenses, minhash, topk, urls, warc
+from tablemirror.llm import html_text, licenses, minhash, packing, topk, urls, warc
 from tablemirror.plans.registry import scratch, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op9(spark, folder):
 @llm_query("op6_minhash_dedup")
 def op6(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@llm_query("op3_best_fit_packing")
+def op3(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
