@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemirror.llm import html_text, licenses, minhash, packing, topk, urls, warc
+from tablemirror.llm import decontaminate, html_text, licenses, minhash, packing, topk, toxicity, urls, warc
 from tablemirror.plans.registry import scratch, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,13 @@ def op6(spark, folder):
 @llm_query("op3_best_fit_packing")
 def op3(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
+
+
+@llm_query("op7_benchmark_decontamination")
+def op7(spark, folder):
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@llm_query("op8_toxicity")
+def op8(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
