@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemirror.llm import decontaminate, html_text, licenses, minhash, packing, topk, toxicity, urls, warc
+from tablemirror.llm import decontaminate, hmm, html_text, licenses, minhash, packing, topk, toxicity, urls, warc
 from tablemirror.plans.registry import scratch, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op7(spark, folder):
 @llm_query("op8_toxicity")
 def op8(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@llm_query("op10_lm_scoring")
+def op10(spark, folder):
+    return hmm.score_texts(table(spark, folder, "documents"))
