@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tablemirror.llm.common import only, space_words
 from tablemirror.llm.components import components
 from tablemirror.operators.joins import lookup
-from tablemirror.session import cut, written
+from tablemirror.session import written
 
 COORDINATES = 32
 BLOCK = 512
@@ -177,7 +177,7 @@ def check_blocks(members: DataFrame, pairs: DataFrame, matches: int, percent: in
         return pd.DataFrame(confirmed(Sets(a), Sets(b), False, matches, percent) if len(a) and len(b) else [], columns=names)
 
     found = inside.groupBy("_group", "_block").applyInPandas(within, f"_a {kind}, _b {kind}")
-    apart = cut(pairs.filter("_left <> _right"))
+    apart = written(pairs.filter("_left <> _right"))
     if not apart.take(1):
         return found
     key = ["_group", "_left", "_right"]
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nodes = written(sketched.filter("_set IS NOT NULL AND _id IS NOT NULL").groupBy("_set").agg(
         F.min("_id").alias("_node"), F.first("_signature").alias("_signature"), F.count(F.lit(1)).alias("_copies")))
 
-    groups = written(candidate_groups(postings(nodes, coordinates, matches)).select(
+    groups = written(candidate_groups(written(postings(nodes, coordinates, matches))).select(
         F.col("node").alias("_node"), F.col("component").alias("_group")))
     wanted = groups.join(nodes.select("_node", "_signature", "_set"), "_node")
     full = with_shingles(rows, wanted, size)
@@ -223,8 +223,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     counts = dealt.select("_group", "_blocks").distinct()
     stars = counts.select("_group", F.lit(0).alias("_left"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_right"))
     links = written(check_blocks(dealt, stars, matches, percent))
-    classes = cut(components(links, "_a", "_b"))
-    large = cut(counts.filter("_blocks > 1").select("_group"))
+    classes = written(components(links, "_a", "_b"))
+    large = written(counts.filter("_blocks > 1").select("_group"))
     if large.take(1):
         # Second round, in groups of several blocks: all pairs of blocks but those inside the largest class.
         again = members.drop("_label").join(large, "_group").join(classes, F.col("_node") == F.col("node"), "left")
