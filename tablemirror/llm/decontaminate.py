@@ -141,12 +141,20 @@ def verified(found: DataFrame, items: dict[str, list[bytes]], counts: dict[int,
         for item, words in items.items():
             by_size.setdefault(len(words), []).append((item, hashed(words)))
         indexes = {n: Index(group, weight_of, radius) for n, group in by_size.items()}
+        sizes_of: dict[int, set[int]] = {}
+        for n, group in by_size.items():
+            for _, own in group:
+                for s in own.tolist():
+                    sizes_of.setdefault(s, set()).add(n)
         for batch in batches:
             rows = []
             for key, at, region in zip(batch["_key"], batch["_at"], batch["_shingles"], strict=True):
                 region = np.asarray(region, np.int64).view(np.uint64)
                 own, best = weight_of(region), {}
-                for n, index in indexes.items():
+                # An item without a shingle in this stretch has similarity 0 with all its windows.
+                known = shingles[np.minimum(np.searchsorted(shingles, region), len(shingles) - 1)] == region
+                for n in sorted(set().union(*(sizes_of[s] for s in np.unique(region[known]).tolist()))):
+                    index = indexes[n]
                     width = min(n - SIZE + 1, len(region))
                     for window, item, distance in index.near(fingerprints(region, own, width)):
                         share = overlap(np.unique(region[window:window + width]), index.sets[item], index.totals[item], weight_of)
