@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+RECORDS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Bytes of ASCII that stand between words, once A-Z are lower-cased.
 PUNCTUATION = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
@@ -32,6 +36,19 @@ def doc_remainder(key: Column, divisor: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(divisor), F.lit(-1))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts can be long: batches that go to Python get small bounds, unless the session has set its own."""
+    for name, default, bound in ((RECORDS, "10000", "2000"), (BYTES, "67108864b", "16m")):
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, bound)
+
+
+def framed(rows: Iterable, names: list[str]) -> pd.DataFrame:
+    """Rows for Spark with plain Python values, so that pandas guesses no types and no nulls."""
+    return pd.DataFrame(list(rows), columns=names, dtype=object)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names; whatever else the table holds stays outside."""
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

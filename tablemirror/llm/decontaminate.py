@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemirror.llm.common import only, plain_words
+from tablemirror.llm.common import framed, only, plain_words
 from tablemirror.session import written
 
 SIZE = 5
@@ -121,7 +121,7 @@ def regions(docs: DataFrame, items: dict[str, list[bytes]]) -> DataFrame:
                 for n, (low, high) in enumerate(spans):
                     rows.append((key, low, hashed(words[low:high]).view(np.int64),
                                  np.array(hits if n == 0 else [], np.uint64).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["_key", "_at", "_shingles", "_hits"])
+            yield framed(rows, ["_key", "_at", "_shingles", "_hits"])
 
     return docs.mapInPandas(find, "_key string, _at int, _shingles array<long>, _hits array<long>")
 
@@ -161,7 +161,7 @@ def verified(found: DataFrame, items: dict[str, list[bytes]], counts: dict[int,
                         if share >= similarity - 1e-9 and share > best.get(index.ids[item], (0.0,))[0]:
                             best[index.ids[item]] = (share, at + window, width + SIZE - 1, distance)
                 rows += [(key, item, *x) for item, x in best.items()]
-            yield pd.DataFrame(rows, columns=["_key", "_item", "_share", "_first", "_words", "_distance"])
+            yield framed(rows, ["_key", "_item", "_share", "_first", "_words", "_distance"])
 
     return found.select("_key", "_at", "_shingles").mapInPandas(
         check, "_key string, _item string, _share double, _first int, _words int, _distance int")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemirror.llm.common import doc_remainder, only, space_words
+from tablemirror.llm.common import doc_remainder, framed, only, space_words
 from tablemirror.session import written
 
 TOP = 2000
@@ -84,7 +84,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             found: Counter = Counter()
             for text in batch["_text"]:
                 found.update(space_words(text))
-            yield pd.DataFrame({"word": [w.decode() for w in found], "n": list(found.values())})
+            yield framed(((w.decode(), n) for w, n in found.items()), ["word", "n"])
 
     rows = docs.filter("NOT _held").select("_text").mapInPandas(count, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -148,7 +148,7 @@ def read_documents(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                     symbols[i] = s
                 symbols[-1] = v.end
                 rows.append((row, key, held, symbols, len(symbols), known, base, inner, np.array(rare, np.uint64).view(np.int64)))
-            yield pd.DataFrame(rows, columns=names)
+            yield framed(rows, names)
 
     kind = docs.schema["_id"].dataType
     return (docs.select("_row", F.col("_id").cast("string").alias("_id"), "_held", "_text").mapInPandas(

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemirror.llm.common import only, space_words
+from tablemirror.llm.common import framed, only, space_words
 from tablemirror.llm.components import components
 from tablemirror.operators.joins import lookup
 from tablemirror.session import written
@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
                 s = shingle_set(text, size)
                 rows.append((key, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None,
                              signature(s, coordinates) if len(s) else None))
-            yield pd.DataFrame(rows, columns=["_id", "_n", "_set", "_signature"])
+            yield framed(rows, ["_id", "_n", "_set", "_signature"])
 
     # Ids travel as text, so that any type of id, and null, comes back unchanged.
     kind = docs.schema["_id"].dataType
@@ -171,10 +171,10 @@ def check_blocks(members: DataFrame, pairs: DataFrame, matches: int, percent: in
 
     def within(frame: pd.DataFrame) -> pd.DataFrame:
         sets = Sets(frame)
-        return pd.DataFrame(confirmed(sets, sets, True, matches, percent), columns=names)
+        return framed(confirmed(sets, sets, True, matches, percent), names)
 
     def across(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(confirmed(Sets(a), Sets(b), False, matches, percent) if len(a) and len(b) else [], columns=names)
+        return framed(confirmed(Sets(a), Sets(b), False, matches, percent) if len(a) and len(b) else [], names)
 
     found = inside.groupBy("_group", "_block").applyInPandas(within, f"_a {kind}, _b {kind}")
     apart = written(pairs.filter("_left <> _right"))

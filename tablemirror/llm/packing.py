@@ -22,6 +22,7 @@ columns are left out; an empty table gives no rows. Texts are tokenised whole.
 from __future__ import annotations
 
 import base64
+import json
 import math
 import re
 import zlib
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemirror.llm.common import only
+from tablemirror.llm.common import framed, only
 from tablemirror.session import written
 
 CAPACITY = 1024
@@ -44,14 +45,14 @@ SIMPLE = re.compile(r"[\x00-ɏ‐-‧]*\Z")
 
 class Encoder:
     """Ids of the byte-level BPE file. Plain Latin texts are encoded by the same ranks in the faster library; the
-    tokenizer file itself encodes all others, and those that spell a special token."""
+    tokenizer file itself, loaded when first needed, encodes all others, and those that spell a special token."""
 
     def __init__(self, name: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
-        self.exact = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.file, self.exact = public_tokenizers.path(f"{name}.json"), None
+        with open(self.file, encoding="utf-8") as text:
+            self.special = [t["content"] for t in json.load(text)["added_tokens"]]
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -59,18 +60,12 @@ class Encoder:
     def __call__(self, text: str) -> list[int]:
         if SIMPLE.match(text) and not any(s in text for s in self.special):
             return self.fast.encode_ordinary(text)
+        if self.exact is None:
+            from tokenizers import Tokenizer
+            self.exact = Tokenizer.from_file(self.file)
         return self.exact.encode(text, add_special_tokens=False).ids
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(name: str) -> Encoder:
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name)
-    return _ENCODERS[name]
-
-
 def pieces_of(count: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``count`` ids."""
     first = count % capacity or capacity
@@ -80,7 +75,7 @@ def pieces_of(count: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, key: str, text: str, capacity: int, tokenizer: str, end_id: int, with_ids: bool) -> DataFrame:
     """_key, _piece, _start, _length, _crc of every piece, and its _ids if asked for."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+        encode = Encoder(tokenizer)     # of this task alone, so that a worker keeps nothing
         for batch in batches:
             rows = []
             for k, t in zip(batch["_key"], batch["_text"], strict=True):
@@ -88,7 +83,7 @@ def pieces(docs: DataFrame, key: str, text: str, capacity: int, tokenizer: str,
                 for i, (start, length) in enumerate(pieces_of(len(ids), capacity)):
                     part = ids[start:start + length]
                     rows.append((k, i, start, length, zlib.crc32(part.tobytes()), *([part.astype(np.int64)] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=names)
+            yield framed(rows, names)
 
     names = ["_key", "_piece", "_start", "_length", "_crc", *(["_ids"] if with_ids else [])]
     kind = docs.schema[key].dataType

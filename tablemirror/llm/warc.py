@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemirror.llm.common import only
+from tablemirror.llm.common import framed, only
 from tablemirror.operators.joins import lookup
 from tablemirror.session import cut
 
@@ -155,7 +155,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                yield pd.DataFrame([rewritten(path, target)], columns=["archive", "records", "bytes"])
+                yield framed([rewritten(path, target)], ["archive", "records", "bytes"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
     return cut(files.repartition(spark.sparkContext.defaultParallelism * 4, "path")
@@ -208,7 +208,7 @@ def read_records(index: DataFrame) -> DataFrame:
                             fields.get("x-key"), int(fields["x-payload-length"]) if revisit else len(payload),
                             fields["warc-payload-digest"].removeprefix("sha256:") if revisit
                             else hashlib.sha256(payload).hexdigest(), fields["warc-type"], fields.get("x-refers-to-key")))
-                yield pd.DataFrame(rows, columns=["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield framed(rows, ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     spread = index.select("archive", "offset", "length").repartition(
         index.sparkSession.sparkContext.defaultParallelism * 2, "archive", F.floor(F.col("offset") / SPAN))
