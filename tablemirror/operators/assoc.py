@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +13,7 @@ from tablemirror.operators.joins import lookup
 from tablemirror.operators.profile import long_form
 from tablemirror.schema import TableMeta, TablePair
 
-WIDE = 20     # above this many columns the Gramian based correlation is used
+PAIRS = 200     # column pairs in one aggregate; wider tables take several, with the same result
 
 COMBINED = 1_000_000     # up to this many combinations of all discrete columns rows are combined first
 
@@ -31,18 +28,18 @@ def _attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def numeric_association(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``by..., col_a, col_b, value``: Pearson correlation of all ordered pairs, from one aggregate."""
+    """``by..., col_a, col_b, value``: Pearson correlation of all ordered pairs, each over the rows where both are known."""
     columns = list(columns)
     doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    if len(columns) > WIDE and not by:
-        vectors = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="skip").transform(doubles)
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()     # columns x columns
-        rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i != j]
-        return df.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["col_a", "col_b", "value"]))
     pairs = list(combinations(range(len(columns)), 2))
-    row = doubles.groupBy(*by).agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs])
-    cells = [_cell(columns[x], columns[y], F.col(f"r{i}_{j}")) for i, j in pairs for x, y in ((i, j), (j, i))]
-    return row.select(*by, F.inline(F.array(*cells)))
+    out = None
+    for at in range(0, len(pairs), PAIRS):
+        part = pairs[at:at + PAIRS]
+        row = doubles.groupBy(*by).agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in part])
+        cells = [_cell(columns[x], columns[y], F.col(f"r{i}_{j}")) for i, j in part for x, y in ((i, j), (j, i))]
+        one = row.select(*by, F.inline(F.array(*cells)))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def correlation_ratio(df: DataFrame, nominal: Sequence[str], numeric: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -154,14 +151,7 @@ def association_matrix(df: DataFrame, meta: TableMeta, nominal: str = "theil", b
 
 def association_difference(pair: TablePair, nominal: str = "theil") -> DataFrame:
     """``col_a, col_b, real, fake, diff`` with the absolute difference; both tables in one plan."""
-    if len(pair.meta.numericals) > WIDE:
-        # Too many numeric pairs for one grouped expression each: one matrix per table.
-        both = None
-        for origin, df in (("real", pair.real), ("fake", pair.fake)):
-            one = association_matrix(df, pair.meta, nominal).withColumn("origin", F.lit(origin))
-            both = one if both is None else both.unionByName(one)
-    else:
-        both = association_matrix(pair.stacked(), pair.meta, nominal, ["origin"])
+    both = association_matrix(pair.stacked(), pair.meta, nominal, ["origin"])
     wide = both.groupBy("col_a", "col_b").agg(*[
         F.max(F.when(F.col("origin") == o, F.col("value"))).alias(o) for o in ("real", "fake")])
     return wide.withColumn("diff", F.abs(F.col("real") - F.col("fake")))

@@ -451,7 +451,7 @@ def snap_to_observed(fake: DataFrame, real: DataFrame, columns: Sequence[str]) -
 
 def gaussian_noise(seed: int, stream: str, key: Sequence[str], sigma: float) -> Column:
     """N(0, sigma) from two hash-uniform numbers (Box-Muller)."""
-    u1 = (uniform(seed, stream + ":r", *key) * F.lit(4294967296.0) + 1) / F.lit(4294967297.0)
+    u1 = uniform(seed, stream + ":r", *key) + F.lit(2.0 ** -53)
     u2 = uniform(seed, stream + ":a", *key)
     return F.lit(sigma) * F.sqrt(-2 * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 

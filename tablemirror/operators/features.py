@@ -23,22 +23,25 @@ class FeatureMaker:
     ranges: dict[str, tuple[float, float]]
     vocabularies: dict[str, list[str]]
     label_values: list[str] | None
+    means: dict[str, float]
 
     @classmethod
     def fit(cls, real: DataFrame, meta: TableMeta, classes: bool = True) -> FeatureMaker:
         inputs = meta.without(meta.label) if meta.label else meta
-        ranges = {}
+        ranges, means = {}, {}
         if inputs.numericals:
             row = real.agg(*[a for i, c in enumerate(inputs.numericals) for a in (
-                F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}"))]).first()
-            ranges = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(inputs.numericals)}
+                F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}"),
+                F.avg(F.col(c).cast("double")).alias(f"mean{i}"))]).first()
+            ranges = {c: (row[f"lo{i}"] or 0.0, row[f"hi{i}"] or 0.0) for i, c in enumerate(inputs.numericals)}
+            means = {c: row[f"mean{i}"] or 0.0 for i, c in enumerate(inputs.numericals)}
         texts = list(inputs.discretes) + ([meta.label] if meta.label and classes else [])
         vocabularies = fitted_vocabularies(real, texts) if texts else {}
         labels = vocabularies.pop(meta.label) if meta.label and classes else None
         for name, values in meta.vocabularies.items():
             if name in vocabularies:
                 vocabularies[name] = list(values)
-        return cls(meta, ranges, vocabularies, labels)
+        return cls(meta, ranges, vocabularies, labels, means)
 
     def _code(self, column: str, values: Sequence[str]) -> Column:
         at = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column).cast("string"))
@@ -50,7 +53,7 @@ class FeatureMaker:
         for name, kind in self.meta.kinds.items():
             if name == self.meta.label:
                 continue
-            x = F.col(name).cast("double")
+            x = F.coalesce(F.col(name).cast("double"), F.lit(self.means[name])) if kind == NUMERICAL else None
             if kind == NUMERICAL:
                 lo, hi = self.ranges[name]
                 if lo >= 0 and hi >= LOG_FROM:
@@ -61,21 +64,22 @@ class FeatureMaker:
                 for v in self.vocabularies[name]:
                     out[f"{name}={v}"] = F.coalesce((F.col(name).cast("string") == v).cast("double"), F.lit(0.0))
             else:
-                out[name] = self._code(name, self.vocabularies[name])
+                out[name] = F.coalesce(self._code(name, self.vocabularies[name]), F.lit(-1.0))
         return out
 
     def label(self) -> Column:
-        """Class codes of the real table (unseen label: NULL), or the number itself."""
+        """Class codes of the real table (a label it never has: -1, which no model predicts), or the number itself."""
         if self.label_values is None:
             return F.col(self.meta.label).cast("double")
         code = self._code(self.meta.label, self.label_values)
-        return F.when(code >= 0, code)
+        return code
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """``keep..., features (vector), label``."""
+        """``keep..., features (vector), label``. Rows without a label are left out, no others: a missing number is the
+        real table's mean, a missing or unseen ordinal value -1, a missing or unseen category no category."""
         named = {f"f{i}": c for i, c in enumerate(self.columns().values())}
         flat = df.select(*keep, *[c.alias(n) for n, c in named.items()], self.label().alias("label"))
-        assembler = VectorAssembler(inputCols=list(named), outputCol="features", handleInvalid="skip")
+        assembler = VectorAssembler(inputCols=list(named), outputCol="features", handleInvalid="error")
         return assembler.transform(flat).select(*keep, "features", "label").filter(F.col("label").isNotNull())
 
     def flat(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -191,6 +191,7 @@ def mean_log_likelihood(df: DataFrame, columns: Sequence[str], model: Mixture) -
     """``loglik``: mean log density per row."""
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch.dropna()      # rows with an unknown number have no density; they are not counted either
             if len(batch):
                 logs = model.log_densities(batch.to_numpy(dtype=float))
                 top = logs.max(axis=1, keepdims=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablemirror.functions.scores import class_f1, f1_binary, jaccard_micro, mape, r2, score_columns
 from tablemirror.operators.features import FeatureMaker
+from tablemirror.operators.likelihood import bayes_net_likelihood, conditional_tables, mixture_likelihood
 from tablemirror.schema import TableMeta, TablePair
 from tablemirror.session import cut, spread
 
@@ -153,6 +154,7 @@ REGRESSORS: dict[str, Callable] = {
 
 
 def fit_classifier(name: str, train: DataFrame, seed: int = 0, **params):
+    train = train.filter(F.col("label") >= 0)       # a class that real never has cannot be learnt, only missed
     counts = class_counts(train)
     if len(counts) == 1:
         return Constant(next(iter(counts)))
@@ -226,13 +228,19 @@ PROBLEMS = ("binary_classification", "multiclass_classification", "regression",
 
 
 def fake_to_real(pair: TablePair, test: DataFrame, models: Sequence[str] | None = None, seed: int = 0,
-                 params: dict | None = None) -> DataFrame:
+                 params: dict | None = None, structure: Mapping[str, Sequence[str]] | None = None,
+                 given: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Train on fake, test on real, by the problem type of the metadata.
 
     Binary: accuracy and F1. Multiclass: accuracy, macro and micro F1. Regression: R2 of
-    ln(label clipped to [1, 20000]).
+    ln(label clipped to [1, 20000]). Gaussian likelihood: mixtures over the numerical columns. Bayesian likelihood: a
+    network of the given ``structure``; its tables are ``given``, else fitted on real.
     """
     problem = pair.meta.problem_type
+    if problem == "gaussian_likelihood":
+        return mixture_likelihood(pair.fake, test, pair.meta.numericals, **(params or {}).get(problem, {}))
+    if problem == "bayesian_likelihood":
+        return bayes_net_likelihood(pair.fake, test, structure, given or conditional_tables(pair.real, structure))
     maker = FeatureMaker.fit(pair.real, pair.meta, classes=problem != "regression")
     train, held = spread(maker.transform(pair.fake)), maker.transform(test)
     defaults = {"binary_classification": BINARY_MODELS, "multiclass_classification": MULTICLASS_MODELS,

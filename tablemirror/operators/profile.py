@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemirror.operators.ordering import running
@@ -55,10 +55,17 @@ def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def sorted_vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``name, value, cnt, code`` (0-based) in value order."""
-    ranked = running(value_counts(df, columns), ["name"], [F.col("value")],
+    """``name, value, cnt, code`` (0-based) in value order; numbers are ordered as numbers."""
+    counts = value_counts(df, columns)
+    ranked = running(counts.withColumn("_number", _number(df, columns)), ["name"], [F.col("_number"), F.col("value")],
                      {"code": ("sum", F.lit(1).cast("bigint"))})
-    return ranked.withColumn("code", F.col("code") - 1)
+    return ranked.withColumn("code", F.col("code") - 1).drop("_number")
+
+
+def _number(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The value as a number if its column is numeric, else null."""
+    numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
+    return F.when(F.col("name").isin(numeric), F.col("value").try_cast("double")) if numeric else F.lit(None).cast("double")
 
 
 def column_metadata(df: DataFrame, meta: TableMeta) -> DataFrame:
@@ -98,11 +105,13 @@ def fitted_vocabularies(df: DataFrame, columns: Sequence[str], limit: int = 10_0
     most = limit * len(columns)
     rows = value_counts(df, columns).limit(most + 1).collect()
     found: dict[str, list] = {c: [] for c in columns}
+    numeric = {c for c in columns if is_numeric(df.schema[c].dataType)}
     for r in rows:
-        found[r["name"]].append((-r["cnt"] if by_count else 0, r["value"]))
+        number = float(r["value"]) if r["name"] in numeric else 0.0
+        found[r["name"]].append((-r["cnt"] if by_count else 0, number, r["value"]))
     if len(rows) > most or any(len(pairs) > limit for pairs in found.values()):
         raise ValueError(f"a column of {list(columns)} has more than {limit} values: use the join based encoding")
-    return {c: [v for _, v in sorted(pairs)] for c, pairs in found.items()}
+    return {c: [v for *_, v in sorted(pairs)] for c, pairs in found.items()}
 
 
 def encoder_statistics(df: DataFrame, meta: TableMeta) -> DataFrame:

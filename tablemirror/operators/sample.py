@@ -142,7 +142,8 @@ def category_pmf(df: DataFrame, columns: Sequence[str], log_smoothing: bool = Tr
 def cumulative(pmf: DataFrame, group: Sequence[str], order: Sequence[str], p: str = "p") -> DataFrame:
     """Add the probability interval ``lo, hi`` of each row; the last one of a group ends at 1."""
     ups = running(pmf, group, [F.col(o) for o in order], {"hi": ("sum", F.col(p))})
-    downs = ups.withColumn("lo", F.col("hi") - F.col(p))
+    # Rounded alike, so that an interval starts exactly where the one before it ends and no draw falls between.
+    downs = ups.withColumn("lo", F.round(F.col("hi") - F.col(p), 12)).withColumn("hi", F.round("hi", 12))
     last = downs.groupBy(*group).agg(F.max("hi").alias("_top"))
     both = downs.join(last, list(group)) if group else downs.crossJoin(F.broadcast(last))      # one row
     # Rounding must not leave a gap below 1.

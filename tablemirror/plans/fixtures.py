@@ -38,12 +38,12 @@ def pair(spark: SparkSession, folder: str, name: str) -> TablePair:
 # ---------------------------------------------------------------- SQL
 
 def h_sql(seed: int, stream: str, *key: str) -> str:
-    parts = ", ".join(f"CAST({k} AS VARCHAR)" for k in key)
+    parts = ", ".join(f"coalesce(strlen(CAST({k} AS VARCHAR)) || ':' || CAST({k} AS VARCHAR), '-')" for k in key)
     return f"md5(concat_ws('|', '{seed}', '{stream}', {parts}))"
 
 
 def u_sql(seed: int, stream: str, *key: str) -> str:
-    return f"(CAST('0x' || substr({h_sql(seed, stream, *key)}, 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+    return f"(CAST('0x' || substr({h_sql(seed, stream, *key)}, 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
 
 
 def sides_sql(name: str) -> str:

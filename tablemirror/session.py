@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 WORTH_SPREADING = 50_000     # rows
@@ -24,12 +26,15 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``cut`` for compute-heavy rereading: many rows in fewer partitions than cores are spread first."""
+    """``cut`` for compute-heavy rereading: dealt by hash over partitions of ``WORTH_SPREADING`` rows, so that how rows lie
+    (which seeded fits depend on) follows from the rows alone, not from cores or files."""
     done, rows = cut_counted(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows < WORTH_SPREADING or done.rdd.getNumPartitions() >= cores:
-        return done
-    return cut(done.repartition(cores))
+    return cut(done.repartition(max(1, -(-rows // WORTH_SPREADING)), F.xxhash64(*[F.col(f"`{c}`") for c in hashable(done)])))
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that a hash can take (vectors cannot be hashed)."""
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.UserDefinedType)]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def settle_folder(df: DataFrame) -> None:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
             folder = tempfile.mkdtemp(prefix="tablemirror-")
         sc.setCheckpointDir(folder)

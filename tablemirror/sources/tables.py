@@ -182,9 +182,25 @@ def write_csv(df: DataFrame, folder: str, dataset: str, synthesizer: str, config
 # ---------------------------------------------------------------- scores
 
 def read_scores(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
-    """All score files of a folder; ``version`` is the file name without ``.csv``."""
-    reader = spark.read.option("header", True)
-    df = reader.schema(schema).csv(folder) if schema is not None else reader.option("inferSchema", True).csv(folder)
+    """All score files of a folder, matched by column name; a column that a file lacks is null. ``version`` is the file
+    name without ``.csv``. One row per file (its header) reaches the driver: files of one header are read together."""
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("path"),
+                                           F.monotonically_increasing_id().alias("at"))
+    files: dict[str, list[str]] = {}
+    for r in lines.groupBy("path").agg(F.min_by("value", "at").alias("header")).orderBy("path").collect():
+        files.setdefault(r["header"], []).append(r["path"])
+    df = None
+    for paths in files.values() or [[folder]]:
+        one = _scores(spark, paths, schema)
+        df = one if df is None else df.unionByName(one, allowMissingColumns=True)
+    return df
+
+
+def _scores(spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
+    df = spark.read.option("header", True).option("inferSchema", schema is None).csv(paths)
+    if schema is not None:
+        df = df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                         for f in schema.fields], "_metadata")
     return df.withColumn("version", F.regexp_replace(F.col("_metadata.file_name"), "\\.csv$", ""))
 
 

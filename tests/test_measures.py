@@ -88,10 +88,14 @@ def test_identities(same, tiny):
     assert math.isclose(summary["Similarity_Score"], 1.0)
 
 
-def test_pca_paths_agree(tiny, monkeypatch):
-    expressions = pca.explained_variance(tiny, MIXED, 3)
-    monkeypatch.setattr(pca, "WIDE", 0)
-    assert pca.explained_variance(tiny, MIXED, 3) == pytest.approx(expressions)
+@pytest.mark.parametrize("partitions", [1, 8, 64])
+def test_pca_moments_with_nulls(spark, partitions):
+    """Every entry over the rows where both columns are known, as covar_samp has it, on any partitioning."""
+    df = spark.range(200).select(*[F.when((F.col("id") + i) % (i + 4) != 0, ((F.col("id") * (2 * i + 3)) % 31).cast("double"))
+                                   .alias(f"c{i}") for i in range(9)]).repartition(partitions)
+    cov = pca.moments(df, df.columns)[1]
+    for r in pca.covariance_long(df, df.columns).collect():
+        assert math.isclose(cov[int(r["col_a"][1:]), int(r["col_b"][1:])], r["value"], rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_duplicates_and_copies_with_nulls(spark):
@@ -254,3 +258,35 @@ def test_align_by_position(spark):
     assert b.columns == ["a", "b"] and b.dtypes == a.dtypes and tuple(b.first()) == (7, 8.5)
     with pytest.raises(ValueError):
         stats.align_tables(real, fake)
+
+
+def test_numbers_are_ordered_as_numbers(spark):
+    from tablemirror.operators import profile
+    df = spark.range(1, 13).select(F.col("id").cast("int").alias("n"), F.col("id").cast("string").alias("t"))
+    codes = {(r["name"], r["value"]): r["code"] for r in profile.sorted_vocabulary(df, ["n", "t"]).collect()}
+    assert [codes["n", str(i)] for i in range(1, 13)] == list(range(12)) and codes["t", "10"] == 1
+    assert profile.fitted_vocabularies(df, ["n"])["n"] == [str(i) for i in range(1, 13)]
+
+
+def test_feature_rows_are_not_lost(spark):
+    from tablemirror.operators.features import FeatureMaker
+    meta = TableMeta({"x": "numerical", "c": "categorical", "o": "ordinal", "y": "categorical"}, label="y")
+    real = spark.createDataFrame([(1.0, "a", "p", "yes"), (3.0, "b", "q", "no"), (None, "c", None, "no")], "x double, c string, o string, y string")
+    fake = spark.createDataFrame([(None, None, "z", "never"), (2.0, "a", "p", "yes"), (1.0, "d", None, "no")], real.schema)
+    maker = FeatureMaker.fit(real, meta)
+    assert maker.transform(real).count() == 3
+    assert sorted(r["label"] for r in maker.transform(fake).collect())[0] == -1.0 and maker.transform(fake).count() == 3
+
+
+def test_keys_of_other_parts_hash_apart(spark):
+    from tablemirror.functions.hashing import key_hash
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("\\N", "x"), ("-", "x")], "a string, b string")
+    assert df.select(key_hash(0, "s", "a", "b")).distinct().count() == 5
+
+
+def test_score_files_of_other_columns(spark, tmp_path):
+    from tablemirror.sources import tables
+    (tmp_path / "v1.csv").write_text("name,accuracy,f1\na,0.5,0.25\n")
+    (tmp_path / "v2.csv").write_text("f1,name\n0.75,b\n")
+    got = {r["name"]: (r["accuracy"], r["f1"], r["version"]) for r in tables.read_scores(spark, str(tmp_path)).collect()}
+    assert got == {"a": (0.5, 0.25, "v1"), "b": (None, 0.75, "v2")}
