@@ -340,6 +340,18 @@ def s10(spark, sf):
     return rounded(sources.read_scores(spark, folder).drop("version"))
 
 
+@query("s10_mixed_files", f"WITH {SCORES} SELECT name, dataset, iteration, synthesizer, round(accuracy_real, 6) AS accuracy_real, "
+       f"CASE WHEN iteration % 2 = 0 THEN round(f1_real, 6) END AS f1_real FROM s")
+def s10_mixed(spark, sf):
+    """Files whose columns stand in another order, or are missing, are matched by name."""
+    folder = scratch(spark, "mixed")
+    rows = scores(spark, sf)
+    names = ["name", "dataset", "iteration", "synthesizer", "accuracy_real", "f1_real"]
+    rows.filter("iteration % 2 = 0").select(names[::-1]).write.option("header", True).csv(folder)
+    rows.filter("iteration % 2 <> 0").select(names[:-1]).write.option("header", True).mode("append").csv(folder)
+    return rounded(sources.read_scores(spark, folder).select(names))
+
+
 @query("s11_leaderboard_sink", f"WITH {SCORES} {BOARD}")
 def s11(spark, sf):
     path = scratch(spark, "board")

@@ -415,3 +415,28 @@ def a15_scores(spark, sf):
     both = pair(spark, sf, "orders")
     scores = both.real.groupBy(F.col("o_orderstatus").alias("name")).agg(F.avg("o_totalprice").alias("mean_price"))
     return rounded(reports.with_scores(scores, reports.miscellaneous(both, seed=SEED, distances=False)), 4)
+
+
+# ---------------------------------------------------------------- wide tables with NULLs
+
+WIDE = {f"c{i}": f"CASE WHEN (l_orderkey + {i}) % {i + 4} <> 0 THEN CAST((CAST(l_quantity AS BIGINT) * {2 * i + 3} + l_linenumber * {i}) % 31 AS DOUBLE) END"
+        for i in range(25)}
+WIDE_SQL = f"w AS (SELECT {', '.join(f'{e} AS {c}' for c, e in WIDE.items())} FROM lineitem)"
+
+
+def wide(spark, sf):
+    return table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in WIDE.items()])
+
+
+@query("a1_wide_with_nulls", f"WITH {WIDE_SQL} SELECT col_a, col_b, round(value, 6) AS value FROM ({corr_sql('w', list(WIDE))})")
+def a1_wide(spark, sf):
+    """Every pair over the rows where both are known, at any number of columns."""
+    return rounded(assoc.numeric_association(wide(spark, sf), list(WIDE)))
+
+
+@query("a10_covariance_with_nulls", f"WITH {WIDE_SQL} SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(covar_samp({a}, {b}), 6) AS value FROM w" for a in WIDE for b in WIDE) + ")")
+def a10_wide(spark, sf):
+    cov = pca.moments(wide(spark, sf), list(WIDE))[1]
+    rows = [(a, b, float(cov[i, j])) for i, a in enumerate(WIDE) for j, b in enumerate(WIDE)]
+    return rounded(spark.createDataFrame(rows, "col_a string, col_b string, value double"))
