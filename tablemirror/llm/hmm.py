@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ ITERATIONS = 3
 ANCHORS = 64            # candidates for the words that states start from
 CELLS = 400_000         # tokens (with padding) that one recursion holds
 LANES = 512
+HELD_WORDS = 300_000    # different words that a counting task holds before it hands them on
 LN10 = math.log(10)
 
 
@@ -80,11 +82,14 @@ class Vocabulary:
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over the training documents; a task's rows are combined batch by batch before the shuffle."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
         for batch in batches:
-            found: Counter = Counter()
             for text in batch["_text"]:
                 found.update(space_words(text))
-            yield framed(((w.decode(), n) for w, n in found.items()), ["word", "n"])
+            if len(found) > HELD_WORDS:
+                yield framed(((w.decode(), n) for w, n in found.items()), ["word", "n"])
+                found = Counter()
+        yield framed(((w.decode(), n) for w, n in found.items()), ["word", "n"])
 
     rows = docs.filter("NOT _held").select("_text").mapInPandas(count, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -122,32 +127,28 @@ def read_documents(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = handle.value
-        logs = {w: math.log(c + 0.1) for w, c in v.counts.items()}
+        place = {w: i for i, w in enumerate(v.counts)}
         end = math.log(v.texts + 0.1)
         share = np.log(v.form_words + 0.1 * (v.form_kinds + 1))
-        top, hashed = v.top, xxhash.xxh64_intdigest
+        # One entry per known word, and a last one, which -1 picks, for all others.
+        logs = np.append(np.log(np.array(list(v.counts.values()), float) + 0.1), 0.0)
+        of = np.array([v.top.get(w, TOP + form(w)) for w in v.counts] + [0], np.int16)
+        within = np.where(of >= TOP, logs - share[np.maximum(of - TOP, 0)], 0.0)
+        hashed = xxhash.xxh64_intdigest
         for batch in batches:
             rows = []
             for row, key, held, text in zip(batch["_row"], batch["_id"], batch["_held"], batch["_text"], strict=True):
                 words = space_words(text)
-                symbols = np.empty(len(words) + 1, np.int16)
-                known, base, inner, rare = int(v.texts > 0), end, 0.0, []
-                for i, w in enumerate(words):
-                    x = logs.get(w)
-                    if (s := top.get(w)) is None:
-                        f = form(w)
-                        s = TOP + f
-                        inner -= share[f]
-                        if x is not None:
-                            inner += x
-                    if x is None:
-                        rare.append(hashed(w, seed=42))
-                    else:
-                        known += 1
-                        base += x
-                    symbols[i] = s
-                symbols[-1] = v.end
-                rows.append((row, key, held, symbols, len(symbols), known, base, inner, np.array(rare, np.uint64).view(np.int64)))
+                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                symbols = np.append(of[at], np.int16(v.end))
+                inner, rare = float(within[at].sum()), []
+                for i in np.flatnonzero(at < 0).tolist():
+                    f = form(words[i])
+                    symbols[i] = TOP + f
+                    inner -= share[f]
+                    rare.append(hashed(words[i], seed=42))
+                rows.append((row, key, held, symbols, len(symbols), int(v.texts > 0) + len(words) - len(rare),
+                             end + float(logs[at].sum()), inner, np.array(rare, np.uint64).view(np.int64)))
             yield framed(rows, names)
 
     kind = docs.schema["_id"].dataType
@@ -171,6 +172,19 @@ def lanes(symbols: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         at += len(group)
 
 
+def gathered(batches: Iterator[pd.DataFrame], tokens: int = 8 * CELLS) -> Iterator[pd.DataFrame]:
+    """Batches put together to about ``tokens`` symbols, so that lanes hold texts of nearly equal length."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += sum(map(len, batch["_symbols"]))
+        if size >= tokens:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 @dataclass
 class Model:
     start: np.ndarray       # state
@@ -271,7 +285,7 @@ def improved(train: DataFrame, model: Model, base: np.ndarray) -> tuple[Model, f
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = handle.value
         sums = [np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols)), 0.0]
-        for batch in batches:
+        for batch in gathered(batches):
             for _, padded, lengths in lanes(batch["_symbols"]):
                 sums = [a + b for a, b in zip(sums, expected(own, padded, lengths), strict=True)]
         yield pd.DataFrame({"v": [np.concatenate((sums[0], sums[1].ravel(), sums[2].ravel(), [sums[3]]))]})
@@ -290,7 +304,7 @@ def likelihoods(read: DataFrame, model: Model) -> DataFrame:
     handle = read.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in gathered(batches):
             out = np.zeros(len(batch))
             for at, padded, lengths in lanes(batch["_symbols"]):
                 out[at] = forward(handle.value, padded, lengths, False)[0]
