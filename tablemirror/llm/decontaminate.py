@@ -11,7 +11,7 @@ loses nothing and leaves most text without fingerprints. A pair just at 0.8 lies
 below 1e-4.
 
 The benchmark is taken in slices of bounded size, one pass over the documents each, and only a slice's index goes to all
-tasks. Documents are not shuffled; a task holds one document at a time.
+tasks. Documents are not shuffled; a task holds one document and the fingerprints of ``STRETCH`` of its windows at a time.
 
 Defined cases: null and empty texts match nothing; items with fewer words than a shingle take no part; items of equal text
 are all reported; a document shorter than an item is one window; repeated documents are each reported; extra columns are
@@ -36,6 +36,7 @@ SIZE = 5
 SIMILARITY = 0.8
 RADIUS = 27
 SLICE_CHARS = 20_000_000
+STRETCH = 16_384        # windows whose fingerprints a task holds at once
 NEAR = {r: [x for x in range(256) if x.bit_count() <= r] for r in range(9)}
 
 
@@ -82,6 +83,13 @@ class Index:
         return out
 
 
+def window_prints(region: np.ndarray, weights: np.ndarray, width: int, stretch: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first window, fingerprints) of stretches of the windows of a text, however long it is."""
+    for at in range(0, len(region) - width + 1, stretch):
+        end = at + stretch + width - 1
+        yield at, fingerprints(region[at:end], weights[at:end], width)
+
+
 def overlap(a: np.ndarray, b: np.ndarray, total: float, weight_of) -> float:
     """Shared weight over the larger weight."""
     common = np.intersect1d(a, b, assume_unique=True)
@@ -127,7 +135,7 @@ def regions(docs: DataFrame, items: dict[str, list[bytes]]) -> DataFrame:
 
 
 def verified(found: DataFrame, items: dict[str, list[bytes]], counts: dict[int, int], documents: int, similarity: float,
-             radius: int) -> DataFrame:
+             radius: int, stretch: int = STRETCH) -> DataFrame:
     rare = 1 + math.log((documents + 1) / 2)
     shingles = np.array(sorted({int(s) for words in items.values() for s in hashed(words)}), np.uint64)
     weights = np.array([1 + math.log((documents + 1) / (counts.get(int(s), 0) + 1)) for s in shingles])
@@ -156,7 +164,9 @@ def verified(found: DataFrame, items: dict[str, list[bytes]], counts: dict[int,
                 for n in sorted(set().union(*(sizes_of[s] for s in np.unique(region[known]).tolist()))):
                     index = indexes[n]
                     width = min(n - SIZE + 1, len(region))
-                    for window, item, distance in index.near(fingerprints(region, own, width)):
+                    near = ((first + window, item, distance) for first, prints in window_prints(region, own, width, stretch)
+                            for window, item, distance in index.near(prints))
+                    for window, item, distance in near:
                         share = overlap(np.unique(region[window:window + width]), index.sets[item], index.totals[item], weight_of)
                         if share >= similarity - 1e-9 and share > best.get(index.ids[item], (0.0,))[0]:
                             best[index.ids[item]] = (share, at + window, width + SIZE - 1, distance)
@@ -169,7 +179,7 @@ def verified(found: DataFrame, items: dict[str, list[bytes]], counts: dict[int,
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                   item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS,
-                  slice_chars: int = SLICE_CHARS) -> DataFrame:
+                  slice_chars: int = SLICE_CHARS, stretch: int = STRETCH) -> DataFrame:
     """key, item_key, similarity, first_word, n_words, distance: the best window of every document and item that match."""
     spark = docs.sparkSession
     rows = only(docs, _key=key, _text=text).withColumn("_key", F.col("_key").cast("string")).filter("_text IS NOT NULL")
@@ -188,7 +198,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         found = written(regions(rows, items))
         counts = {r["h"] & ((1 << 64) - 1): r["count"] for r in
                   found.select(F.explode("_hits").alias("h")).groupBy("h").count().toLocalIterator()}
-        out = out.unionByName(verified(found, items, counts, documents, similarity, radius))
+        out = out.unionByName(verified(found, items, counts, documents, similarity, radius, stretch))
     best = out.groupBy("_key", "_item").agg(F.max(F.struct("_share", -F.col("_first"), "_words", "_distance")).alias("b"))
     return best.select(
         F.col("_key").cast(docs.schema[key].dataType).alias(key),

@@ -41,11 +41,15 @@ END_ID = 2
 BUCKET_ROWS = 20_000
 # Within this range both tokenizer libraries agree on character classes; other texts go the slower way.
 SIMPLE = re.compile(r"[\x00-ɏ‐-‧]*\Z")
+# The faster library's pattern keeps a step of its stack per character of a run of white space, and stops when it is full.
+RUN = 10_000
+LONG_RUN = re.compile(rf"\s{{{RUN}}}")
 
 
 class Encoder:
     """Ids of the byte-level BPE file. Plain Latin texts are encoded by the same ranks in the faster library; the
-    tokenizer file itself, loaded when first needed, encodes all others, and those that spell a special token."""
+    tokenizer file itself, loaded when first needed, encodes all others, those that spell a special token, and those with
+    very long runs of white space."""
 
     def __init__(self, name: str):
         import public_tokenizers
@@ -58,7 +62,8 @@ class Encoder:
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if SIMPLE.match(text) and not any(s in text for s in self.special):
+        if (SIMPLE.match(text) and not any(s in text for s in self.special)
+                and not (len(text) >= RUN and LONG_RUN.search(text))):
             return self.fast.encode_ordinary(text)
         if self.exact is None:
             from tokenizers import Tokenizer

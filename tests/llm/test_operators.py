@@ -187,6 +187,14 @@ def test_encoders_agree():
         assert encode.fast.encode_ordinary(text) == encode.exact.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_of_white_space():
+    encode = packing.Encoder("byte_bpe_50k")
+    for text in (" " * 2_000_000, "\n" * packing.RUN, "a" * 300_000, " " * (packing.RUN - 1) + "x  y", "a b\n" * 9000 + "\t" * 50_000 + "z"):
+        got = encode(text)
+        encode("漢字")
+        assert got == encode.exact.encode(text, add_special_tokens=False).ids
+
+
 # Top k
 
 def test_top_k(spark):
@@ -331,6 +339,8 @@ def test_decontamination_of_changed_passages(spark):
                                   (3, ", ".join(words).upper()), (4, None), (5, "")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench).collect()}
     assert set(got) == {1, 3} and got[1]["first_word"] == 100 and got[1]["n_words"] == 60 and got[3]["similarity"] == 1
+    # The same when a text's windows are taken in short stretches.
+    assert {r["doc_id"]: r for r in decontaminate.contamination(docs, bench, stretch=7).collect()} == got
 
 
 def test_index_finds_all_within_radius():
