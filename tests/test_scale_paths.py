@@ -38,9 +38,30 @@ def test_running_in_ranges_equals_one_window(spark, values, group):
 def test_lookup_with_a_hot_key_equals_plain_join(spark):
     left = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 400).alias("k"))
     table = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for how in ("left", "inner"):
-        assert rows(joins.lookup(left, table, ["k"], how, broadcast_rows=0).select("id", "k", "v").fillna(-1)) == \
-            rows(left.join(table, ["k"], how).select("id", "k", "v").fillna(-1))
+    # A missing key, a lookup row without key, and values as wide as a broadcast must not be.
+    left = left.unionByName(spark.range(3000, 3500).select("id", F.lit(None).cast("bigint").alias("k")))
+    table = table.unionByName(spark.range(1).select(F.lit(None).cast("bigint").alias("k"), F.lit(5).cast("bigint").alias("v")))
+    for how in ("left", "inner", "left_anti"):
+        for limits in ({"broadcast_rows": 0}, {"broadcast_bytes": 100}, {}):
+            got = joins.lookup(left, table, ["k"], how, task_rows=90, **limits)
+            assert rows(got.select(sorted(got.columns)).fillna(-1)) == rows(
+                left.join(table, ["k"], how).select(sorted(got.columns)).fillna(-1))
+
+
+def test_hot_and_missing_keys_are_spread(spark):
+    left = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, F.lit("hot")).alias("k"))
+    table = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
+    joined = joins.lookup(left, table, ["k"], broadcast_rows=0, task_rows=100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = joined.groupBy(F.spark_partition_id().alias("p"), "k").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for k in ("hot", None):
+        sizes = [r["count"] for r in parts if r["k"] == k]
+        assert sum(sizes) == 2000 and len(sizes) > 1 and max(sizes) < 1500
+    many = spark.createDataFrame([("x" * 1000, [1.0] * 10), (None, None)], "k string, v array<double>")
+    assert [r["b"] for r in many.select(joins.row_bytes(many).alias("b")).collect()] == [1112, 32]
 
 
 def test_copies_are_expanded_in_chunks(spark):
