@@ -151,6 +151,8 @@ REGRESSORS: dict[str, Callable] = {
     "elastic_net": _linear(elasticNetParam=0.5, regParam=1.0),
     "linear_regression": fit_linear,
 }
+# The regressors of a report's grid.
+REPORT_REGRESSORS = ("random_forest_regr", "lasso", "ridge", "elastic_net")
 
 
 def fit_classifier(name: str, train: DataFrame, seed: int = 0, **params):
