@@ -371,6 +371,16 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_examples_once_per_id(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(ids[0], f"text {i}", 1.0) for i in range(300)] + [(i, f"other {i}", 1.0) for i in ids[1:]]
+                                 + [(None, "no id", 1.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] * 2 + [(ids[0], 1), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", 20_000).collect()
+    assert sorted(r["_id"] for r in got) == ids
+    assert {r["_id"]: (r["_text"], r["_y"]) for r in got}[ids[0]] == ("text 0", 1)
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(9)
     vectors = []
