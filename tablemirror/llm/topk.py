@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemirror.llm.common import only
+from tablemirror.operators.joins import lookup
 from tablemirror.session import written
 
 BUCKET_ROWS = 4096
@@ -157,8 +158,10 @@ def top_k(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding",
         sent = (asked.withColumn("_bucket", F.explode("_buckets")).drop("_buckets")
                 .join(F.broadcast(parts), "_bucket").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
                 .drop("_parts"))
-        met = targets.select(*[F.col(c).alias(c) for c in ("_id", "_v", "_norm", "_bucket", "_part")], F.explode(
-            F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+        # Vectors go only to query blocks that visit their bucket; a bucket that no query can need is not shuffled.
+        visits = sent.groupBy("_bucket").agg(F.collect_set("_block").alias("_visits"))
+        own = targets.select(*[F.col(c).alias(c) for c in ("_id", "_v", "_norm", "_bucket", "_part")])
+        met = lookup(own, visits, ["_bucket"], how="inner").withColumn("_block", F.explode("_visits")).drop("_visits")
         return sent.groupBy(*group).cogroup(met.groupBy(*group)).applyInPandas(
             lambda a, b: search(a, b, k), "query_id long, vec_id long, score long")
 
