@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemirror.llm import decontaminate, hmm, html_text, licenses, minhash, packing, topk, toxicity, urls, warc
+from tablemirror.llm import (collocations, decontaminate, divergence, hmm, html_text, licenses, minhash, packing, token_counts, topk,
+                             toxicity, urls, warc)
 from tablemirror.plans.registry import scratch, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,18 @@ def op8(spark, folder):
 @llm_query("op10_lm_scoring")
 def op10(spark, folder):
     return hmm.score_texts(table(spark, folder, "documents"))
+
+
+@llm_query("op11_source_divergence", divergence.brute_force_sql())
+def op11(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@llm_query("op12_token_counts")
+def op12(spark, folder):
+    return token_counts.count_tokens(table(spark, folder, "documents"))
+
+
+@llm_query("op13_phrase_collocations", collocations.brute_force_sql())
+def op13(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
