@@ -307,6 +307,46 @@ def a11_any(spark, sf):
     return rounded(nearest.record_distance(_keyed_orders(spark, sf), mismatch="any", key=["o_orderkey"], seed=SEED))
 
 
+# Orders with missing values: a rule on the key blanks prices, statuses and priorities; every row takes part.
+GAPS = {"o_totalprice": (10, 3), "o_orderstatus": (9, 4), "o_orderpriority": (7, 2)}
+GAPPED = ", ".join(f"CASE WHEN o_orderkey % {m} = {r} THEN NULL ELSE {c} END AS {c}" for c, (m, r) in GAPS.items())
+RECORD_GAPS = """
+WITH o AS (SELECT o_orderkey, {gapped} FROM orders), rl AS (SELECT * FROM o WHERE {u} < 0.5), fk AS (SELECT * FROM o WHERE {u} >= 0.5),
+c AS (SELECT o_orderkey, o_totalprice, {codes} FROM o),
+r AS (SELECT c.* FROM c JOIN rl USING (o_orderkey)),
+s AS (SELECT stddev_pop(o_totalprice) + 1e-6 AS sd, avg(o_totalprice) AS m, (SELECT count(*) FROM rl) // 2 AS n FROM rl),
+f AS (SELECT c.* FROM c JOIN fk USING (o_orderkey) QUALIFY row_number() OVER (ORDER BY {h}) <= (SELECT n FROM s)),
+b AS (SELECT f.o_orderkey, min(pow((coalesce(r.o_totalprice, m) - coalesce(f.o_totalprice, m)) / 2 / sd, 2)
+  + CAST((r.o_totalprice IS NULL) <> (f.o_totalprice IS NULL) AS INTEGER)
+  + CAST({cmp_status} AS INTEGER) + CAST({cmp_priority} AS INTEGER)) AS d FROM f, r, s GROUP BY f.o_orderkey)
+SELECT round(avg(sqrt(d)), 6) AS record_distance FROM b"""
+GAP_CODES = ", ".join(f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) END AS k_{c}"
+                      for c in ORDERS.discretes)
+GAP_NAMES = ", ".join(f"{c} AS k_{c}" for c in ORDERS.discretes)
+
+
+def _gapped_orders(spark, sf):
+    real, fake = sides(spark, sf, "orders")
+    blank = {c: F.when(F.col("o_orderkey") % m == r, F.lit(None)).otherwise(F.col(c)) for c, (m, r) in GAPS.items()}
+    keep = ["o_orderkey", *ORDERS.columns]
+    return TablePair(real.withColumns(blank).select(*keep), fake.withColumns(blank).select(*keep), ORDERS)
+
+
+@query("a11_record_distance_nulls", RECORD_GAPS.format(
+    gapped=GAPPED, u=u_sql(SEED, "split", "o_orderkey"), codes=GAP_CODES, h=h_sql(SEED, "record", "o_orderkey"),
+    cmp_status="r.k_o_orderstatus > f.k_o_orderstatus", cmp_priority="r.k_o_orderpriority > f.k_o_orderpriority"))
+def a11_nulls(spark, sf):
+    return rounded(nearest.record_distance(reports.coded(_gapped_orders(spark, sf)), key=["o_orderkey"], seed=SEED))
+
+
+@query("a11_record_distance_any_nulls", RECORD_GAPS.format(
+    gapped=GAPPED, u=u_sql(SEED, "split", "o_orderkey"), codes=GAP_NAMES, h=h_sql(SEED, "record", "o_orderkey"),
+    cmp_status="r.k_o_orderstatus IS DISTINCT FROM f.k_o_orderstatus",
+    cmp_priority="r.k_o_orderpriority IS DISTINCT FROM f.k_o_orderpriority"))
+def a11_any_nulls(spark, sf):
+    return rounded(nearest.record_distance(_gapped_orders(spark, sf), mismatch="any", key=["o_orderkey"], seed=SEED))
+
+
 @query("a11_record_distance_lineitem")
 def a11_lineitem(spark, sf):
     return rounded(nearest.record_distance(reports.coded(pair(spark, sf, "lineitem")), seed=SEED))

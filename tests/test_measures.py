@@ -75,6 +75,21 @@ def test_record_distance_both_modes(spark):
     assert math.isclose(nearest.record_distance(apart, rows=2, mismatch="any").first()[0], 1.0, rel_tol=1e-6)
 
 
+def test_record_distance_missing_values(spark):
+    meta = TableMeta({"x": "numerical", "k": "categorical"})
+    real = spark.createDataFrame([(0.0, 2), (10.0, 0), (None, 1)], "x double, k int")
+    # A missing number stands at the mean 5 and 1 apart; a missing code is the smallest (positive) or its own (any).
+    fake = spark.createDataFrame([(None, None)], "x double, k int")
+    for mode in ("positive", "any"):
+        assert math.isclose(nearest.record_distance(TablePair(real, fake, meta), rows=1, mismatch=mode).first()[0], 1.0, rel_tol=1e-6)
+    nan = spark.createDataFrame([(float("nan"), 1)], "x double, k int")
+    assert nearest.record_distance(TablePair(real, nan, meta), rows=1).first()[0] == 0.0
+    known = spark.createDataFrame([(0.0, 5)], "x double, k int")
+    # Against (0, 2) only: nothing missing, the real code is smaller.
+    assert nearest.record_distance(TablePair(real, known, meta), rows=1).first()[0] == 0.0
+    assert math.isclose(nearest.record_distance(TablePair(real, known, meta), rows=1, mismatch="any").first()[0], 1.0, rel_tol=1e-6)
+
+
 def test_identities(same, tiny):
     difference = assoc.association_difference(same)
     found = {r["metric"]: r["value"] for r in assoc.association_distance(difference).collect()}
