@@ -142,9 +142,11 @@ def even_sql(name, key):
             f"ef AS (SELECT * FROM fk QUALIFY row_number() OVER (ORDER BY {h_sql(SEED, 'equal', key)}) <= (SELECT n FROM sz))")
 
 
-def even_pair(spark, sf, name, key):
+def even_pair(spark, sf, name, key, meta=None, blank=None):
     real, fake = sides(spark, sf, name)
-    meta = {"orders": ORDERS, "part": PART}[name] if name in ("orders", "part") else TableMeta({"value": "numerical", "event_type": "categorical"})
+    if blank:
+        real, fake = real.withColumns(blank), fake.withColumns(blank)
+    meta = meta or ({"orders": ORDERS, "part": PART}[name] if name in ("orders", "part") else TableMeta({"value": "numerical", "event_type": "categorical"}))
     keyed = TableMeta({key: "ordinal", **meta.kinds})
     even = equal_length(TablePair(real, fake, keyed), [key], SEED)
     return TablePair(even.real.select(*meta.columns), even.fake.select(*meta.columns), meta)
@@ -175,6 +177,33 @@ def a6_cramer(spark, sf):
     return rounded(rankpair.column_correlations(even_pair(spark, sf, "orders", "o_orderkey"), nominal="cramer"))
 
 
+# Integers as categories sort as integers; missing values sort last, numbers pair where both are known, a missing
+# category is a category of its own. The blanks are a rule on the key; every row takes part.
+INTEGERS = TableMeta({"o_custkey": "categorical", "o_totalprice": "numerical"})
+BLANKS = {"o_totalprice": (10, 3), "o_orderpriority": (7, 2), "o_custkey": (11, 6)}
+WITH_BLANKS = TableMeta({"o_totalprice": "numerical", "o_orderpriority": "categorical", "o_custkey": "categorical"})
+
+
+def _blanked_even_sql():
+    cols = ", ".join(f"CASE WHEN o_orderkey % {m} = {r} THEN NULL ELSE {c} END AS {c}" for c, (m, r) in BLANKS.items())
+    u, h = u_sql(SEED, "split", "o_orderkey"), h_sql(SEED, "equal", "o_orderkey")
+    return (f"o AS (SELECT o_orderkey, {cols} FROM orders), rl AS (SELECT * FROM o WHERE {u} < 0.5), fk AS (SELECT * FROM o WHERE {u} >= 0.5), "
+            "sz AS (SELECT least((SELECT count(*) FROM rl), (SELECT count(*) FROM fk)) AS n), "
+            f"er AS (SELECT * FROM rl QUALIFY row_number() OVER (ORDER BY {h}) <= (SELECT n FROM sz)), "
+            f"ef AS (SELECT * FROM fk QUALIFY row_number() OVER (ORDER BY {h}) <= (SELECT n FROM sz))")
+
+
+@query("a6_rank_paired_integers", f"WITH {even_sql('orders', 'o_orderkey')} SELECT name, round(value, 6) AS value FROM ({ranked_sql(INTEGERS)})")
+def a6_integers(spark, sf):
+    return rounded(rankpair.column_correlations(even_pair(spark, sf, "orders", "o_orderkey", INTEGERS)))
+
+
+@query("a6_rank_paired_nulls", f"WITH {_blanked_even_sql()} SELECT name, round(value, 6) AS value FROM ({ranked_sql(WITH_BLANKS)})")
+def a6_nulls(spark, sf):
+    blank = {c: F.when(F.col("o_orderkey") % m == r, F.lit(None)).otherwise(F.col(c)) for c, (m, r) in BLANKS.items()}
+    return rounded(rankpair.column_correlations(even_pair(spark, sf, "orders", "o_orderkey", WITH_BLANKS, blank)))
+
+
 # ---------------------------------------------------------------- statistics
 
 STAT_SQL = {"min": "min({c})", "max": "max({c})", "mean": "avg({c})", "median": "median({c})", "std": "stddev_samp({c})", "var": "var_samp({c})"}

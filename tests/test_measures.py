@@ -90,6 +90,30 @@ def test_record_distance_missing_values(spark):
     assert math.isclose(nearest.record_distance(TablePair(real, known, meta), rows=1, mismatch="any").first()[0], 1.0, rel_tol=1e-6)
 
 
+def test_rank_pairing_native_order_and_missing_values(spark):
+    meta = TableMeta({"k": "categorical"})
+    real = spark.createDataFrame([(v,) for v in (1, 2, 2, 3, 10, 11)], "k int")
+    fake = spark.createDataFrame([(v,) for v in (1, 2, 3, 3, 4, 10)], "k int")
+    # Sorted as integers: (1,1) (2,2) (2,3) (3,3) (10,4) (11,10); as text 10 and 11 would come before 2.
+    got = value(rankpair.column_correlations(TablePair(real, fake, meta)))
+    assert math.isclose(got, 0.851959, abs_tol=1e-6)
+    for bucket in (1, 2, 4):
+        assert math.isclose(value(rankpair.column_correlations(TablePair(real, fake, meta), rows_per_bucket=bucket)), got, rel_tol=1e-9)
+    nums = TableMeta({"x": "numerical"})
+    full = spark.createDataFrame([(float(i),) for i in range(100)], "x double")
+    gaps = spark.createDataFrame([(float(i) if i < 60 else None,) for i in range(100)], "x double")
+    # Missing values sort last: positions 0..59 pair equal values, the rest have a missing side and are left out.
+    assert math.isclose(value(rankpair.column_correlations(TablePair(full, gaps, nums))), 1.0, rel_tol=1e-12)
+    short = spark.createDataFrame([(float(i),) for i in range(0, 120, 2)], "x double")
+    # 100 against 60 rows: the 60 positions both have; the longer table's largest values are left out.
+    assert math.isclose(value(rankpair.column_correlations(TablePair(full, short, nums))), 1.0, rel_tol=1e-12)
+    cats = TableMeta({"c": "categorical"})
+    a = spark.createDataFrame([("a",), ("b",), (None,), (None,)], "c string")
+    b = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "c string")
+    # Pairs (a,a) (b,b) (null,c) (null,null): U(real | fake) = 1.
+    assert math.isclose(value(rankpair.column_correlations(TablePair(a, b, cats))), 1.0, rel_tol=1e-12)
+
+
 def test_identities(same, tiny):
     difference = assoc.association_difference(same)
     found = {r["metric"]: r["value"] for r in assoc.association_distance(difference).collect()}
