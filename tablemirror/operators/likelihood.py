@@ -11,6 +11,16 @@ from tablemirror.operators.joins import lookup
 from tablemirror.operators.mixture import fit_rows, mean_log_likelihood
 
 FLOOR = 1e-8    # added to a probability before its logarithm
+MISSING = "\u2205"   # a missing value; every known one is written with a leading "=", so both sort in value order
+
+
+def coded(c: str):
+    """A column's values as text that joins NULL with NULL: known values in their order, a missing value last."""
+    return F.when(F.col(c).isNull(), F.lit(MISSING)).otherwise(F.concat(F.lit("="), F.col(c).cast("string"))).alias(c)
+
+
+def decoded(c: str):
+    return F.when(F.col(c) == MISSING, F.lit(None).cast("string")).otherwise(F.expr(f"substring(`{c}`, 2)")).alias(c)
 
 
 def topological(structure: Mapping[str, Sequence[str]]) -> list[str]:
@@ -28,9 +38,9 @@ def topological(structure: Mapping[str, Sequence[str]]) -> list[str]:
 
 
 def conditional_tables(df: DataFrame, structure: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
-    """Per child: ``parents..., child, _p`` from counts."""
+    """Per child: ``parents..., child, _p`` from counts, values ``coded``: a missing value is a value of its own."""
     nodes = list(structure)
-    joint = df.select(*[F.col(c).cast("string").alias(c) for c in nodes]).groupBy(*nodes).agg(
+    joint = df.select(*[coded(c) for c in nodes]).groupBy(*nodes).agg(
         F.count(F.lit(1)).alias("_n"))
     out = {}
     for child, parents in structure.items():
@@ -46,12 +56,13 @@ def conditional_tables(df: DataFrame, structure: Mapping[str, Sequence[str]]) ->
 
 def bayes_net_log_likelihood(df: DataFrame, tables: Mapping[str, DataFrame],
                              structure: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``loglik``: mean of ln(p + 1e-8) over the rows; anything unseen has p = 0.
+    """``loglik``: mean of ln(p + 1e-8) over the rows; anything unseen has p = 0. A missing value, parent or child,
+    is a value of its own (``tables`` from ``conditional_tables``).
 
     Equal rows are counted first, so a frequent combination is scored once.
     """
     nodes = list(structure)
-    rows = df.select(*[F.col(c).cast("string").alias(c) for c in nodes]).groupBy(*nodes).agg(
+    rows = df.select(*[coded(c) for c in nodes]).groupBy(*nodes).agg(
         F.count(F.lit(1)).alias("_n"))
     p = F.lit(1.0)
     for i, (child, parents) in enumerate(structure.items()):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablemirror.functions.hashing import uniform
 from tablemirror.operators.joins import lookup
-from tablemirror.operators.likelihood import conditional_tables, topological
+from tablemirror.operators.likelihood import conditional_tables, decoded, topological
 from tablemirror.operators.profile import long_form, sorted_vocabulary
 from tablemirror.operators.sample import cdf_lookup, cumulative, dense_index, sample_with_replacement
 from tablemirror.schema import TableMeta
@@ -67,7 +67,8 @@ def independent(df: DataFrame, columns: Sequence[str], n: int, key: Sequence[str
 
 
 def bayes_net_rows(df: DataFrame, structure: Mapping[str, Sequence[str]], n: int, seed: int = 0) -> DataFrame:
-    """Ancestral sampling: parents before children, one distribution lookup per column."""
+    """Ancestral sampling: parents before children, one distribution lookup per column. Values come back as text; a
+    missing value is drawn as often as it occurs, also as a parent."""
     tables = conditional_tables(df, structure)
     rows = df.sparkSession.range(n).withColumnRenamed("id", "draw")
     for child in topological(structure):
@@ -75,4 +76,4 @@ def bayes_net_rows(df: DataFrame, structure: Mapping[str, Sequence[str]], n: int
         cdf = cumulative(tables[child].select(*parents, child, "_p"), parents, [child], "_p").drop("_p")
         rows = cdf_lookup(rows.withColumn("_u", uniform(seed, f"net:{child}", F.col("draw"))), cdf,
                           parents, "_u", [child]).drop("_u")
-    return rows.select("draw", *structure)
+    return rows.select("draw", *[decoded(c) for c in structure])

@@ -205,6 +205,42 @@ def r9_net(spark, sf):
     return synth.bayes_net_rows(df, NET, df.count(), 3)
 
 
+# Missing values as parents and children: a rule on the key blanks them; every row takes part and is drawn.
+NET_BLANKS = {"l_linestatus": "(l_orderkey + l_linenumber) % 7 = 3", "l_returnflag": "l_orderkey % 5 = 1",
+              "l_linenumber": "l_orderkey % 11 = 4"}
+
+
+def _net_null_sql():
+    """As ``_net_sql``, joining missing with missing; a missing value sorts last."""
+    def intervals(child, parents):
+        by = ", ".join([*parents, child])
+        part = f"PARTITION BY {', '.join(parents)} " if parents else ""
+        keep = "".join(f"{p}, " for p in parents)
+        return (f"(SELECT {keep}{child}, coalesce(sum(c) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(c) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lo, "
+                f"sum(c) OVER (w ROWS UNBOUNDED PRECEDING) / sum(c) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS hi "
+                f"FROM (SELECT {by}, CAST(count(*) AS DOUBLE) AS c FROM t GROUP BY ALL) WINDOW w AS ({part}ORDER BY {child} NULLS LAST))")
+    cols = ", ".join(f"CASE WHEN {rule} THEN NULL ELSE CAST({c} AS VARCHAR) END AS {c}" for c, rule in NET_BLANKS.items())
+    u = {c: u_sql(3, f"net:{c}", "draw") for c in NET}
+    return f"""
+WITH t AS (SELECT {cols} FROM lineitem), d0 AS (SELECT range AS draw FROM range((SELECT count(*) FROM lineitem))),
+d1 AS (SELECT draw, l_linestatus FROM d0, {intervals('l_linestatus', [])} i WHERE {u['l_linestatus']} >= lo AND {u['l_linestatus']} < hi),
+d2 AS (SELECT draw, d1.l_linestatus, i.l_returnflag FROM d1 JOIN {intervals('l_returnflag', ['l_linestatus'])} i
+  ON d1.l_linestatus IS NOT DISTINCT FROM i.l_linestatus WHERE {u['l_returnflag']} >= lo AND {u['l_returnflag']} < hi),
+d3 AS (SELECT draw, d2.l_linestatus, d2.l_returnflag, i.l_linenumber FROM d2 JOIN {intervals('l_linenumber', ['l_returnflag'])} i
+  ON d2.l_returnflag IS NOT DISTINCT FROM i.l_returnflag WHERE {u['l_linenumber']} >= lo AND {u['l_linenumber']} < hi)
+SELECT * FROM d3"""
+
+
+def blanked_lineitem(df):
+    return df.withColumns({c: F.when(F.expr(rule), F.lit(None)).otherwise(F.col(c)) for c, rule in NET_BLANKS.items()})
+
+
+@query("r9_null_parents", _net_null_sql())
+def r9_null_parents(spark, sf):
+    df = blanked_lineitem(table(spark, sf, "lineitem"))
+    return synth.bayes_net_rows(df, NET, df.count(), 3)
+
+
 @query("r11_split", f"""
 SELECT CASE WHEN {u_sql(3, 'split', 'o_orderkey')} < 0.8 THEN 'train' ELSE 'test' END AS part, o_orderkey FROM orders""")
 def r11(spark, sf):

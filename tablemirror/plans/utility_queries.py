@@ -9,7 +9,7 @@ from tablemirror.operators.features import FeatureMaker
 from tablemirror.operators.sample import split
 from tablemirror.plans.fixtures import SEED, sides, sides_sql, u_sql
 from tablemirror.plans.registry import query, rounded, table
-from tablemirror.plans.sample_queries import NET
+from tablemirror.plans.sample_queries import NET, NET_BLANKS, blanked_lineitem
 from tablemirror.schema import CATEGORICAL, NUMERICAL, ORDINAL, TableMeta, TablePair
 
 DOCS = TableMeta({"n_chars": NUMERICAL, "lang": CATEGORICAL, "source": ORDINAL, "toxic": CATEGORICAL, "quality": CATEGORICAL},
@@ -229,6 +229,31 @@ def b2(spark, sf):
 
 
 
+def _net_null(source):
+    """As ``_net``, with a missing value as a value of its own in counts and lookups."""
+    a = f"(SELECT l_linestatus, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM {source}) AS p0 FROM {source} GROUP BY 1)"
+    b = f"(SELECT l_linestatus, l_returnflag, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY l_linestatus) AS p1 FROM {source} GROUP BY 1, 2)"
+    c = f"(SELECT l_returnflag, l_linenumber, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY l_returnflag) AS p2 FROM {source} GROUP BY 1, 2)"
+    same = lambda x, y, *cols: " AND ".join(f"{x}.{k} IS NOT DISTINCT FROM {y}.{k}" for k in cols)
+    return lambda rows: (f"(SELECT avg(ln(coalesce(p0, 0) * coalesce(p1, 0) * coalesce(p2, 0) + 1e-8)) FROM {rows} z "
+                         f"LEFT JOIN {a} a ON {same('z', 'a', 'l_linestatus')} "
+                         f"LEFT JOIN {b} b ON {same('z', 'b', 'l_linestatus', 'l_returnflag')} "
+                         f"LEFT JOIN {c} c ON {same('z', 'c', 'l_returnflag', 'l_linenumber')})")
+
+
+_BLANKED = ", ".join(f"CASE WHEN {rule} THEN NULL ELSE {c} END AS {c}" for c, rule in NET_BLANKS.items())
+
+
+@query("b2_null_parents", f"""
+WITH lb AS (SELECT l_orderkey, {_BLANKED} FROM lineitem), rl AS (SELECT * FROM lb WHERE {u_sql(SEED, 'split', 'l_orderkey')} < 0.5),
+fk AS (SELECT * FROM lb WHERE {u_sql(SEED, 'split', 'l_orderkey')} >= 0.5)
+SELECT 'bayesian_network' AS name, round({_net_null('rl')('fk')}, 6) AS syn_likelihood, round({_net_null('fk')('rl')}, 6) AS test_likelihood""")
+def b2_null_parents(spark, sf):
+    real, fake = (blanked_lineitem(df) for df in sides(spark, sf, "lineitem"))
+    given = likelihood.conditional_tables(real, NET)
+    return rounded(likelihood.bayes_net_likelihood(fake, real, NET, given))
+
+
 @query("u19_dispatch_bayesian_likelihood", f"""
 WITH {sides_sql('lineitem')}, fs AS (SELECT * FROM fk WHERE NOT (l_returnflag = 'R' AND l_linenumber = 7))
 SELECT 'bayesian_network' AS name, round({_net('rl', 'g')('fs')}, 6) AS syn_likelihood, round({_net('fs', 'f')('rl')}, 6) AS test_likelihood""")

@@ -114,6 +114,22 @@ def test_rank_pairing_native_order_and_missing_values(spark):
     assert math.isclose(value(rankpair.column_correlations(TablePair(a, b, cats))), 1.0, rel_tol=1e-12)
 
 
+def test_network_with_missing_parents(spark):
+    from tablemirror.operators import likelihood, synth
+    rows = [("a", "x"), (None, "y"), (None, None), ("a", None), (None, "y")] * 40
+    df = spark.createDataFrame(rows, "p string, c string")
+    net = {"p": [], "c": ["p"]}
+    drawn = synth.bayes_net_rows(df, net, 200, seed=1)
+    assert drawn.count() == 200
+    seen = {(r["p"], r["c"]) for r in drawn.collect()}
+    assert seen <= {("a", "x"), (None, "y"), (None, None), ("a", None)} and (None, "y") in seen
+    # Every row of the table itself has a probability: p(p) * p(c | p), missing values as values of their own.
+    tables = likelihood.conditional_tables(df, net)
+    got = likelihood.bayes_net_log_likelihood(df, tables, net).first()["loglik"]
+    want = sum(math.log(pp * pc + 1e-8) for pp, pc in [(0.4, 0.5), (0.6, 2 / 3), (0.6, 1 / 3), (0.4, 0.5), (0.6, 2 / 3)]) / 5
+    assert math.isclose(got, want, rel_tol=1e-9)
+
+
 def test_identities(same, tiny):
     difference = assoc.association_difference(same)
     found = {r["metric"]: r["value"] for r in assoc.association_distance(difference).collect()}
