@@ -243,12 +243,22 @@ def fit_uniform_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> l
     return [UniformBinEncoder(c, lo, hi, bins) for c, (lo, hi) in _ranges(df, columns).items()]
 
 
-def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> list[OneHotEncoder]:
-    return [OneHotEncoder(c, v) for c, v in fitted_vocabularies(df, columns).items()]
+def _vocabularies(df: DataFrame, columns: Sequence[str], given: Mapping[str, Sequence] | None) -> dict[str, list[str]]:
+    """Given vocabularies (as text, in their order) where there are any, the others fitted in one pass."""
+    given = given or {}
+    fitted = fitted_vocabularies(df, [c for c in columns if c not in given])
+    return {c: [str(v) for v in given[c]] if c in given else fitted[c] for c in columns}
 
 
-def fit_ordinal(df: DataFrame, columns: Sequence[str]) -> list[OrdinalEncoder]:
-    return [OrdinalEncoder(c, v) for c, v in fitted_vocabularies(df, columns).items()]
+def fit_one_hot(df: DataFrame, columns: Sequence[str], given: Mapping[str, Sequence] | None = None) -> list[OneHotEncoder]:
+    """One-hot encoders; a column of ``given`` (e.g. ``meta.vocabularies``) keeps that vocabulary and its order, and a
+    value outside it is all zeros."""
+    return [OneHotEncoder(c, v) for c, v in _vocabularies(df, columns, given).items()]
+
+
+def fit_ordinal(df: DataFrame, columns: Sequence[str], given: Mapping[str, Sequence] | None = None) -> list[OrdinalEncoder]:
+    """Ordinal encoders; a column of ``given`` codes by its position there, a value outside it is NULL."""
+    return [OrdinalEncoder(c, v) for c, v in _vocabularies(df, columns, given).items()]
 
 
 def fit_mixture(df: DataFrame, columns: Sequence[str], bayesian: bool = True, components: int = 10,

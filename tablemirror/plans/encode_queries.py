@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablemirror.operators import encode
 from tablemirror.plans.fixtures import LINEITEM, ORDERS, sides, sides_sql
 from tablemirror.plans.registry import query, rounded, scratch, table
+from tablemirror.schema import TableMeta
 
 NUM = LINEITEM.numericals
 ENDS = "ends AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)"
@@ -112,6 +113,30 @@ def e8(spark, sf):
     return coded.select("c_custkey", F.element_at("v", 1).cast("bigint").alias("code"), e.decode(F.col("v")).alias("decoded"))
 
 
+# A given vocabulary, as metadata carries it: its order is the code, values outside it code to nothing.
+GIVEN_PRIORITIES = ["5-LOW", "1-URGENT", "3-MEDIUM", "2-HIGH"]
+
+
+@query("e7_one_hot_given_vocabulary", "SELECT o_orderkey, " + ", ".join(
+    f"CASE WHEN o_orderpriority = '{p}' THEN 1.0 ELSE 0.0 END AS hot_{i}" for i, p in enumerate(GIVEN_PRIORITIES)) + " FROM orders")
+def e7_given(spark, sf):
+    df = table(spark, sf, "orders")
+    (e,) = encode.fit_one_hot(df, ["o_orderpriority"], TableMeta(ORDERS.kinds, {"o_orderpriority": GIVEN_PRIORITIES}).vocabularies)
+    coded = df.select("o_orderkey", e.encode().alias("v"))
+    return coded.select("o_orderkey", *[F.element_at("v", i + 1).alias(f"hot_{i}") for i in range(len(e.values))])
+
+
+@query("e8_ordinal_given_vocabulary", "SELECT o_orderkey, CAST(CASE o_orderpriority " + " ".join(
+    f"WHEN '{p}' THEN {i}" for i, p in enumerate(GIVEN_PRIORITIES)) + " END AS BIGINT) AS code, "
+    "dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS status FROM orders")
+def e8_given(spark, sf):
+    df = table(spark, sf, "orders")
+    meta = TableMeta(ORDERS.kinds, {"o_orderpriority": GIVEN_PRIORITIES})
+    given, fitted = encode.fit_ordinal(df, ["o_orderpriority", "o_orderstatus"], meta.vocabularies)
+    return df.select("o_orderkey", F.element_at(given.encode(), 1).cast("bigint").alias("code"),
+                     F.element_at(fitted.encode(), 1).cast("bigint").alias("status"))
+
+
 @query("e8_ordinal_large_vocabulary", """
 SELECT p_partkey, dense_rank() OVER (ORDER BY p_name) - 1 AS p_name, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand FROM part""")
 def e8_join(spark, sf):
