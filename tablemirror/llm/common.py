@@ -52,3 +52,12 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names; whatever else the table holds stays outside."""
     bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have: ``base``, else ``base`` with the first free number."""
+    taken, name, n = set(df.columns), base, 0
+    while name in taken:
+        n += 1
+        name = f"{base}{n}"
+    return name

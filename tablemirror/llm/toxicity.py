@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemirror.llm.common import doc_remainder, lower_ascii, only, plain_words
+from tablemirror.llm.common import doc_remainder, fresh, lower_ascii, only, plain_words
 from tablemirror.session import cut, written
 
 SAMPLE = 20_000         # labelled documents that are learnt from, at most (about)
@@ -256,7 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score",
                   evidence: str = "evidence") -> DataFrame:
-    """``docs`` with the probability of being toxic and the ids of the nearest examples."""
+    """``docs`` with the probability of being toxic and the ids of the nearest examples in ``score`` and ``evidence``;
+    its other columns stay as they are, whatever their names."""
     counter = Terms(model.terms)
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -272,8 +273,9 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sco
             out.append(known[name])
         return pd.DataFrame({"score": [x[0] for x in out], "evidence": [x[1] for x in out]})
 
-    return docs.withColumn("_judged", judged(F.col(f"`{text}`"))).withColumn(score, F.col("_judged.score")).withColumn(
-        evidence, F.col("_judged.evidence")).drop("_judged")
+    held = fresh(docs, "_judged")       # whatever columns docs has stay as they are
+    return docs.withColumn(held, judged(F.col(f"`{text}`"))).withColumn(score, F.col(f"`{held}`.score")).withColumn(
+        evidence, F.col(f"`{held}`.evidence")).drop(held)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",

@@ -180,3 +180,23 @@ def test_collocation_cases(spark, odd):
     assert (g["l"], g["r"], g["score"]) == (150, 150, 2_000_000 * 80 // 300)
     assert collocations.collocations(odd).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert collocations.collocations(odd.limit(0)).count() == 0
+
+
+# --- pipeline stages with columns of clashing names ------------------------------------------------------------------
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+    from tablemirror.llm import toxicity
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    extra = ("_judged", "_toxic_score", "_toxic_evidence", "_row_key", "_row_key1")
+    marked = docs.select("*", *[F.concat(F.lit(c + ":"), F.col("doc_id").cast("string")).alias(c) for c in extra])
+    for stage in (corpus_pipeline.reject_toxic, corpus_pipeline.drop_leaks):
+        plain = sorted(r["doc_id"] for r in stage(spark, docs, SMALL).select("doc_id").collect())
+        got = stage(spark, marked, SMALL)
+        assert got.columns == marked.columns
+        rows = got.collect()
+        assert sorted(r["doc_id"] for r in rows) == plain
+        assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in extra)
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    judged = toxicity.with_toxicity(marked, model, "text", "score", "evidence")
+    assert judged.columns == [*marked.columns, "score", "evidence"]
