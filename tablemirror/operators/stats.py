@@ -77,7 +77,8 @@ def categorical_statistics(pair: TablePair) -> DataFrame:
 def statistic_vectors(pair: TablePair) -> DataFrame:
     """``section, item, real, fake``: six values per numerical, three per discrete column.
 
-    The top category enters as its code in the sorted vocabulary of the real table.
+    The top category enters as its code in the sorted vocabulary of the real table, or in the given vocabulary of
+    ``meta.vocabularies`` (a top value outside it has no code).
     """
     parts = []
     if pair.meta.numericals:
@@ -86,7 +87,13 @@ def statistic_vectors(pair: TablePair) -> DataFrame:
                                    F.col(f"{s}_real").alias("real"), F.col(f"{s}_fake").alias("fake")) for s in STATISTICS])
         parts.append(wide.select(F.lit("numerical").alias("section"), F.inline(cells)))
     if pair.meta.discretes:
-        codes = sorted_vocabulary(pair.real, pair.meta.discretes).select("name", "value", "code")
+        given = {c: list(v) for c, v in pair.meta.vocabularies.items() if c in pair.meta.discretes}
+        codes = sorted_vocabulary(pair.real, [c for c in pair.meta.discretes if c not in given]).select(
+            "name", "value", F.col("code").cast("long").alias("code"))
+        if given:       # the metadata's own lists, on the driver already
+            listed = pair.real.sparkSession.createDataFrame(
+                [(c, str(v), i) for c, vs in given.items() for i, v in enumerate(vs)], "name string, value string, code long")
+            codes = codes.unionByName(listed)
         stats = categorical_statistics(pair)          # one row per column
         for origin in ("real", "fake"):
             top = codes.select("name", F.col("value").alias(f"top_{origin}"), F.col("code").alias(f"code_{origin}"))

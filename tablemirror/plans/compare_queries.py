@@ -246,7 +246,10 @@ def a8(spark, sf):
 
 def similarity_sql(meta):
     nums = " UNION ALL ".join(f"SELECT {s}_real AS r, {s}_fake AS f FROM n" for s in STAT_SQL)
-    codes = f"SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS code FROM (SELECT DISTINCT name, value FROM ({long_sql('rl', meta.discretes, 'VARCHAR')}))"
+    fitted = [c for c in meta.discretes if c not in meta.vocabularies]
+    codes = f"SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS code FROM (SELECT DISTINCT name, value FROM ({long_sql('rl', fitted, 'VARCHAR')}))"
+    if meta.vocabularies:
+        codes += " UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', '{v}', {i}" for c, vs in meta.vocabularies.items() for i, v in enumerate(vs))
     ranks = "(SELECT rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0 AS a, rank() OVER (ORDER BY f) + (count(*) OVER (PARTITION BY f) - 1) / 2.0 AS b FROM {})"
     p, q = len(meta.numericals), len(meta.discretes)
     return f"""n AS ({stats_sql(meta, False)}), nv AS ({nums}), codes AS ({codes}),
@@ -261,6 +264,15 @@ def a9(spark, sf):
     return rounded(stats.statistical_similarity(pair(spark, sf, "lineitem")))
 
 
+GIVEN_FLAGS = TableMeta(LINEITEM.kinds, {"l_returnflag": ["N", "R", "A"], "l_linestatus": ["O", "F"]})
+
+
+@query("a9_statistical_similarity_given_vocabulary", f"WITH {sides_sql('lineitem')}, {similarity_sql(GIVEN_FLAGS)} SELECT round(value, 6) AS value FROM sim")
+def a9_given(spark, sf):
+    both = pair(spark, sf, "lineitem")
+    return rounded(stats.statistical_similarity(TablePair(both.real, both.fake, GIVEN_FLAGS)))
+
+
 @query("a9_statistical_similarity_mape", f"""
 WITH {sides_sql('lineitem')}, {similarity_sql(LINEITEM)}
 SELECT round((4 * (1 - (SELECT avg(abs((r - f) / r)) FROM nv WHERE r <> 0)) + 3 * (1 - (SELECT avg(abs((r - f) / r)) FROM cv WHERE r <> 0))) / 7, 6) AS value""")
