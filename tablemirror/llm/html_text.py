@@ -6,10 +6,13 @@ length and its commas to its ancestors: all of them to the parent, half to the g
 container's points are discounted by its link density; the best container is kept with the siblings that score
 too, or its enclosing article. Each block's white space becomes single spaces, blocks are joined by one space.
 
-Every page is handled on its own, whole, in time linear in its length; nothing is shuffled.
+Every page is handled on its own, whole; nothing is shuffled. Ordinary pages take time about linear in their length;
+hostile markup (thousands of unclosed tags or quotes, deeply nested inline runs) can take time that grows with the
+square of the page's length.
 
 Defined cases: a null or empty page, and a page without any text outside boilerplate, has the empty text;
-unclosed and misnested markup is repaired; repeated rows each get their row.
+unclosed and misnested markup is repaired; repeated rows each get their row; a null page id keeps its row; columns
+other than the id, url and html stay outside, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ rows block by block, and returns at most k rows a query and bucket.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of other
 dimension than the query's score as if padded by zeros; equal scores go by the smaller id; a repeated id is a
-candidate of its own for other ids, never for its own id; null ids take no part; an empty table gives no rows.
+candidate of its own for other ids, never for its own id; two query rows of one id are ranked as one query: their best
+lists are merged, and a candidate that both found appears once for each; null ids take no part; other columns stay outside; an empty table gives no rows.
 Scores are exact as long as they fit a long.
 """
 

@@ -4,8 +4,8 @@ The regression learns from a small labelled URL table and judges whatever no rul
 column expressions and Spark ML; a row never leaves its partition.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and the verdict
-the model gives for no n-grams at all (its intercept). Repeated rows each get their row; an empty table
-gives an empty result; very long urls are judged whole.
+the model gives for no n-grams at all (its intercept). Repeated rows each get their row; a null page id keeps its
+row; other columns stay outside; an empty table gives an empty result; very long urls are judged whole.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ by an equal one.
 Defined cases: a null payload is empty; null keys or urls leave their header out; control characters and
 blanks of an url are percent-encoded; payloads shorter than ``least`` are always responses; of equal payloads
 every row with the smallest non-null key is a response (all rows, if every key is null), the others revisit it;
-an empty table gives no records.
+other columns stay outside; an empty table gives no records.
 """
 
 from __future__ import annotations
