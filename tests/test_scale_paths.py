@@ -154,6 +154,27 @@ def test_nearest_costs_equal_brute_force(spark, monkeypatch, block, shape):
             assert math.isclose(r["best"], want[(tuple(r["vec"]), tuple(r["codes"]))], rel_tol=1e-6, abs_tol=1e-9)
 
 
+def test_cells_to_search_are_few_and_none_is_missed():
+    rng = np.random.default_rng(3)
+    t = np.hstack([rng.normal(size=(60_000, 3)), rng.integers(0, 3, (60_000, 1))])
+    q = np.hstack([rng.normal(size=(300, 3)), rng.integers(0, 3, (300, 1))])
+    tree = nearest._Tree(t[::7], 3, 32)
+    cells = tree.locate(t)
+    ids = np.unique(cells)
+    assert len(ids) > 200 and np.bincount(cells).max() < 2000
+    tree.fill(ids, np.array([t[cells == c].min(axis=0) for c in ids]), np.array([t[cells == c].max(axis=0) for c in ids]))
+    own = tree.locate(q)
+    costs = np.array([((t[:, :3] - x[:3]) ** 2).sum(axis=1) + (t[:, 3] > x[3]) for x in q])
+    best = np.array([costs[i, cells == own[i]].min() for i in range(len(q))])
+    found = [(r, c) for rows, at in tree.others(q, own, best) for r, c in zip(rows, at)]
+    assert len(found) == len(set(found)) < 20 * len(q)
+    for i in range(len(q)):
+        # Whatever is closer than the own cell's best lies in a cell to search.
+        assert set(cells[costs[i] < best[i]]) <= {c for r, c in found if r == i}
+    got = nearest._nearest(q, t, 3, np.full(len(q), np.inf))
+    assert np.allclose(got, costs.min(axis=1))
+
+
 def test_spearman_and_curves_in_ranges(spark):
     df = spark.range(800).select(((F.col("id") * 37) % 101 > 50).cast("int").alias("y"), ((F.col("id") * 53) % 97).cast("double").alias("s"))
     for fn, name in ((scores.spearman, "spearman"), (scores.roc_auc, "roc_auc"), (scores.pr_auc, "pr_auc")):
