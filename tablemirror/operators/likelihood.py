@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemirror.operators.joins import lookup
-from tablemirror.operators.mixture import fit_rows, mean_log_likelihood
+from tablemirror.operators.mixture import fit_tables, mean_log_likelihood
 
 FLOOR = 1e-8    # added to a probability before its logarithm
 MISSING = "\u2205"   # a missing value; every known one is written with a leading "=", so both sort in value order
@@ -85,10 +85,11 @@ def mixture_likelihood(fake: DataFrame, test: DataFrame, columns: Sequence[str],
                        max_iter: int = 100) -> DataFrame:
     """``name, components, syn_likelihood, test_likelihood``: a mixture fitted on test scores fake, one
     fitted on fake scores test."""
+    fitted = fit_tables({"fake": fake, "test": test}, columns, components, max_iter)
     out = None
     for k in components:
-        syn = mean_log_likelihood(fake, columns, fit_rows(test, columns, k, max_iter))
-        held = mean_log_likelihood(test, columns, fit_rows(fake, columns, k, max_iter))
+        syn = mean_log_likelihood(fake, columns, fitted["test", k])
+        held = mean_log_likelihood(test, columns, fitted["fake", k])
         row = syn.select(F.col("loglik").alias("syn_likelihood")).crossJoin(
             held.select(F.col("loglik").alias("test_likelihood")))         # one row each
         row = row.select(F.lit("gaussian_mixture").alias("name"), F.lit(k).alias("components"),

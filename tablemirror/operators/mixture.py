@@ -13,13 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemirror.operators.profile import value_counts
-from tablemirror.session import cut
+from tablemirror.session import spread
 
 RIDGE = 1e-6    # added to variances
+CHUNK = 4096    # rows computed at once
+WORTH_SPREADING = 20_000     # different rows of a task: every iteration reads them again
 
 
 @dataclass(frozen=True)
@@ -55,33 +58,53 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - inv2 * (1 / 12 - inv2 * (1 / 120 - inv2 * (1 / 252 - inv2 / 240)))
 
 
-def _sums(models: dict[str, Mixture], centres: dict[str, np.ndarray]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sums(models: dict[str, Mixture], centres: dict[str, np.ndarray], tables: dict[str, str]):
+    """Of one task: the weighted sums of every model over the rows of its table, added up over all batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list] = {}
         for batch in batches:
-            for name, part in batch.groupby("name"):
-                model = models[name]
-                x = np.vstack(part["vec"].to_numpy()).astype(float) - centres[name]
-                w = part["cnt"].to_numpy(dtype=float)
-                logs = model.log_densities(x)
-                top = logs.max(axis=1, keepdims=True)
-                e = np.exp(logs - top)
-                total = e.sum(axis=1, keepdims=True)
-                r = e / total * w[:, None]
-                k, d = model.means.shape
-                yield pd.DataFrame({
-                    "name": name, "k": np.repeat(np.arange(k), d), "dim": np.tile(np.arange(d), k),
-                    "r": np.repeat(r.sum(axis=0), d), "rx": (r.T @ x).ravel(), "rxx": (r.T @ x ** 2).ravel(),
-                    "loglik": np.where(np.arange(k * d) == 0, ((np.log(total) + top)[:, 0] * w).sum(), 0.0)})
+            named = batch.column("name").dictionary_encode()
+            where, weights = named.indices.to_numpy(), batch.column("cnt").to_numpy(zero_copy_only=False).astype(float)
+            values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False)
+                                      for c in batch.schema.names if c not in ("name", "cnt")])
+            for at, table in enumerate(named.dictionary.to_pylist()):
+                rows = np.flatnonzero(where == at)
+                for start in range(0, len(rows), CHUNK):
+                    part = rows[start:start + CHUNK]
+                    for name in (n for n in models if tables[n] == table):
+                        total = sums.setdefault(name, [0.0, 0.0, 0.0, 0.0])
+                        for i, one in enumerate(_expected(models[name], values[part] - centres[name], weights[part])):
+                            total[i] = total[i] + one
+        out = []
+        for name, (r, rx, rxx, loglik) in sums.items():
+            k, d = rx.shape
+            out.append(pd.DataFrame({
+                "name": name, "k": np.repeat(np.arange(k, dtype="int32"), d), "dim": np.tile(np.arange(d, dtype="int32"), k),
+                "r": np.repeat(r, d), "rx": rx.ravel(), "rxx": rxx.ravel(),
+                "loglik": np.where(np.arange(k * d) == 0, loglik, 0.0)}))
+        if out:
+            yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
     return run
 
 
-def _step(data: DataFrame, models: dict[str, Mixture], centres: dict[str, np.ndarray]) -> dict[str, tuple]:
-    partial = data.mapInPandas(
-        _sums(models, centres),
+def _expected(model: Mixture, x: np.ndarray, w: np.ndarray) -> tuple:
+    """Weighted responsibilities, their first and second moments and the log likelihood of some rows."""
+    logs = model.log_densities(x)
+    top = logs.max(axis=1, keepdims=True)
+    e = np.exp(logs - top)
+    total = e.sum(axis=1, keepdims=True)
+    e *= w[:, None] / total
+    return e.sum(axis=0), e.T @ x, e.T @ x ** 2, float(((np.log(total) + top)[:, 0] * w).sum())
+
+
+def _step(data: DataFrame, models: dict[str, Mixture], centres: dict[str, np.ndarray],
+          tables: dict[str, str]) -> dict[str, tuple]:
+    partial = data.mapInArrow(
+        _sums(models, centres, tables),
         "name string, k int, dim int, r double, rx double, rxx double, loglik double")
     rows = partial.groupBy("name", "k", "dim").agg(
         F.sum("r").alias("r"), F.sum("rx").alias("rx"), F.sum("rxx").alias("rxx"),
-        F.sum("loglik").alias("loglik")).toPandas()      # columns x components x dimensions rows
+        F.sum("loglik").alias("loglik")).toPandas()      # models x components x dimensions rows
     out = {}
     for name, part in rows.groupby("name"):
         part = part.sort_values(["k", "dim"])
@@ -123,12 +146,13 @@ def _update_variational(nk, rx, rxx, prior) -> Mixture:
 
 
 def _fit(data: DataFrame, start: dict[str, Mixture], centres: dict[str, np.ndarray], priors: dict,
-         update, max_iter: int, tolerance: float, rows: dict[str, float]) -> dict[str, Mixture]:
-    """Iterate until the mean log likelihood of every column moves by less than ``tolerance``."""
+         update, max_iter: int, tolerance: float, rows: dict[str, float], tables: dict[str, str]) -> dict[str, Mixture]:
+    """Iterate until the mean log likelihood of every model over its table moves by less than ``tolerance``."""
     models, last = dict(start), {name: -math.inf for name in start}
     active = set(start)
     for _ in range(max_iter):
-        sums = _step(data.filter(F.col("name").isin(sorted(active))), {n: models[n] for n in active}, centres)
+        open_ = sorted({tables[n] for n in active})
+        sums = _step(data.filter(F.col("name").isin(open_)), {n: models[n] for n in active}, centres, tables)
         for name, (nk, rx, rxx, loglik) in sums.items():
             models[name] = update(nk, rx, rxx, priors.get(name))
             mean = loglik / rows[name]
@@ -143,8 +167,7 @@ def _fit(data: DataFrame, start: dict[str, Mixture], centres: dict[str, np.ndarr
 def fit_columns(df: DataFrame, columns: Sequence[str], components: int = 10, bayesian: bool = True,
                 concentration: float = 0.001, max_iter: int = 100, tolerance: float = 1e-3) -> dict[str, Mixture]:
     """One 1-D mixture per column, all in the same jobs; started from evenly spaced quantiles."""
-    data = cut(value_counts(df, columns, "double").filter(~F.isnan("value"))
-               .select("name", F.array("value").alias("vec"), "cnt"))
+    data = spread(value_counts(df, columns, "double").filter(~F.isnan("value")), WORTH_SPREADING)
     quantiles = [(i + 0.5) / components for i in range(components)]
     row = df.agg(*[agg for i, c in enumerate(columns) for agg in (
         F.avg(F.col(c).cast("double")).alias(f"m{i}"), F.var_samp(F.col(c).cast("double")).alias(f"v{i}"),
@@ -152,39 +175,56 @@ def fit_columns(df: DataFrame, columns: Sequence[str], components: int = 10, bay
         F.percentile_approx(F.col(c).cast("double"), quantiles, 10000).alias(f"q{i}"))]).first()
     start, centres, priors, rows = {}, {}, {}, {}
     for i, c in enumerate(columns):
-        spread = max(row[f"v{i}"] or 0.0, RIDGE)
+        width = max(row[f"v{i}"] or 0.0, RIDGE)
         centres[c] = np.array([row[f"m{i}"]])
         means = np.array(row[f"q{i}"], dtype=float)[:, None] - centres[c]
-        variances = np.full_like(means, spread / components + RIDGE)
+        variances = np.full_like(means, width / components + RIDGE)
         weights = np.full(components, 1.0 / components)
         start[c] = Mixture(weights, means, variances, plain_offsets(weights, variances))
-        priors[c], rows[c] = (concentration, spread), row[f"n{i}"]
+        priors[c], rows[c] = (concentration, width), row[f"n{i}"]
     update = _update_variational if bayesian else _update_plain
-    fitted = _fit(data, start, centres, priors, update, max_iter, tolerance, rows)
+    fitted = _fit(data, start, centres, priors, update, max_iter, tolerance, rows, {c: c for c in columns})
     return {c: Mixture(m.weights, m.means + centres[c], m.variances, m.offsets) for c, m in fitted.items()}
 
 
 def fit_rows(df: DataFrame, columns: Sequence[str], components: int, max_iter: int = 100,
              tolerance: float = 1e-3) -> Mixture:
     """One diagonal mixture over whole rows; started from the quantiles of each column."""
-    vectors = cut(df.select(F.lit("row").alias("name"), F.array(*[F.col(c).cast("double") for c in columns]).alias("vec"))
-                  .groupBy("name", "vec").agg(F.count(F.lit(1)).alias("cnt")))
-    quantiles = [(i + 0.5) / components for i in range(components)]
-    row = df.agg(*[agg for i, c in enumerate(columns) for agg in (
-        F.avg(F.col(c).cast("double")).alias(f"m{i}"), F.var_pop(F.col(c).cast("double")).alias(f"v{i}"),
-        F.percentile_approx(F.col(c).cast("double"), quantiles, 10000).alias(f"q{i}"))],
-        F.count(F.lit(1)).alias("n")).first()
-    centre = np.array([row[f"m{i}"] for i in range(len(columns))])
-    spread = np.array([max(row[f"v{i}"], RIDGE) for i in range(len(columns))])
-    grid = np.array([row[f"q{i}"] for i in range(len(columns))], dtype=float).T - centre
-    for j in range(grid.shape[1]):
-        # A different order per dimension, or all centres would lie on one line.
-        grid[:, j] = grid[(np.arange(components) * (2 * j + 1) + j) % components, j]
-    weights = np.full(components, 1.0 / components)
-    variances = np.tile(spread / components + RIDGE, (components, 1))
-    start = {"row": Mixture(weights, grid, variances, plain_offsets(weights, variances))}
-    fitted = _fit(vectors, start, {"row": centre}, {}, _update_plain, max_iter, tolerance, {"row": row["n"]})["row"]
-    return Mixture(fitted.weights, fitted.means + centre, fitted.variances, fitted.offsets)
+    return fit_tables({"row": df}, columns, [components], max_iter, tolerance)["row", components]
+
+
+def fit_tables(dfs: dict[str, DataFrame], columns: Sequence[str], components: Sequence[int], max_iter: int = 100,
+               tolerance: float = 1e-3) -> dict[tuple[str, int], Mixture]:
+    """``fit_rows`` of every table with every number of components, all in the same jobs."""
+    columns = list(columns)
+    numbers = [F.col(f"`{c}`").cast("double") for c in columns]
+    data = None
+    for table, df in dfs.items():
+        one = df.select(F.lit(table).alias("name"), *[x.alias(f"x{i}") for i, x in enumerate(numbers)])
+        data = one if data is None else data.unionByName(one)
+    data = spread(data.groupBy(*data.columns).agg(F.count(F.lit(1)).alias("cnt")), WORTH_SPREADING)
+    start, centres, rows, tables = {}, {}, {}, {}
+    for table, df in dfs.items():
+        wanted = {k: [(i + 0.5) / k for i in range(k)] for k in components}
+        row = df.agg(*[agg for i, x in enumerate(numbers) for agg in (
+            F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"),
+            *[F.percentile_approx(x, q, 10000).alias(f"q{i}_{k}") for k, q in wanted.items()])],
+            F.count(F.lit(1)).alias("n")).first()
+        centre = np.array([row[f"m{i}"] for i in range(len(columns))])
+        spreads = np.array([max(row[f"v{i}"], RIDGE) for i in range(len(columns))])
+        for k in components:
+            grid = np.array([row[f"q{i}_{k}"] for i in range(len(columns))], dtype=float).T - centre
+            for j in range(grid.shape[1]):
+                # A different order per dimension, or all centres would lie on one line.
+                grid[:, j] = grid[(np.arange(k) * (2 * j + 1) + j) % k, j]
+            weights = np.full(k, 1.0 / k)
+            variances = np.tile(spreads / k + RIDGE, (k, 1))
+            name = f"{k}:{table}"
+            start[name] = Mixture(weights, grid, variances, plain_offsets(weights, variances))
+            centres[name], rows[name], tables[name] = centre, row["n"], table
+    fitted = _fit(data, start, centres, {}, _update_plain, max_iter, tolerance, rows, tables)
+    return {(tables[n], int(n.split(":")[0])): Mixture(m.weights, m.means + centres[n], m.variances, m.offsets)
+            for n, m in fitted.items()}
 
 
 def mean_log_likelihood(df: DataFrame, columns: Sequence[str], model: Mixture) -> DataFrame:

@@ -345,3 +345,22 @@ def test_score_files_of_other_columns(spark, tmp_path):
     (tmp_path / "v2.csv").write_text("f1,name\n0.75,b\n")
     got = {r["name"]: (r["accuracy"], r["f1"], r["version"]) for r in tables.read_scores(spark, str(tmp_path)).collect()}
     assert got == {"a": (0.5, 0.25, "v1"), "b": (None, 0.75, "v2")}
+
+
+def test_mixtures_of_both_tables_are_fitted_in_shared_jobs(spark):
+    import numpy as np
+
+    from tablemirror.operators import mixture
+
+    data = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(5.0)).otherwise(0.0).alias("c"), (F.col("id") * 37 % 101 / 101).alias("x"))
+    low = data.select((F.col("c") + F.col("x")).alias("a"), (F.col("x") - F.col("c")).alias("b"))
+    high = low.select((F.col("a") + 100).alias("a"), "b")
+    both = mixture.fit_tables({"low": low, "high": high}, ["a", "b"], [1, 2])
+    for name, df in (("low", low), ("high", high)):
+        for k in (1, 2):
+            alone = mixture.fit_rows(df, ["a", "b"], k)
+            assert np.allclose(alone.means, both[name, k].means) and np.allclose(alone.weights, both[name, k].weights)
+    assert np.allclose(both["low", 1].means, [[3.0, -2.0]], atol=0.1)
+    assert np.allclose(np.sort(both["high", 2].means[:, 0]), [100.5, 105.5], atol=0.1)
+    assert math.isclose(mixture.mean_log_likelihood(low, ["a", "b"], both["low", 2]).first()[0],
+                        mixture.mean_log_likelihood(high, ["a", "b"], both["high", 2]).first()[0], rel_tol=1e-6)
