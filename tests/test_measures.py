@@ -364,3 +364,25 @@ def test_mixtures_of_both_tables_are_fitted_in_shared_jobs(spark):
     assert np.allclose(np.sort(both["high", 2].means[:, 0]), [100.5, 105.5], atol=0.1)
     assert math.isclose(mixture.mean_log_likelihood(low, ["a", "b"], both["low", 2]).first()[0],
                         mixture.mean_log_likelihood(high, ["a", "b"], both["high", 2]).first()[0], rel_tol=1e-6)
+
+
+def test_adaboost_rounds_are_sums_over_counted_bins(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    # An interval in the middle: one stump cannot tell it, a vote of several can.
+    df = spark.range(3000).select((F.col("id") * 37 % 1009 / 1009).alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    df = df.select(array_to_vector(F.array("a", "b")).alias("features"), ((F.col("a") > 0.3) & (F.col("a") < 0.7)).cast("double").alias("label"))
+    tries = []
+    best = models._best_stump
+    monkeypatch.setattr(models, "_best_stump", lambda w, n, t: tries.append((w, n)) or best(w, n, t))
+    fitted = models.fit_classifier("adaboost", df, rounds=8)
+    # Weights always add up to one, every row is counted, and a round's wrong and right weights are then even.
+    assert len(tries) == 8 and all(np.allclose(w.sum(axis=(1, 2)), 1.0) and (n.sum(axis=(1, 2)) == 3000).all() for w, n in tries)
+    for (stump, _), (w, _) in zip(fitted.votes, tries[1:]):
+        low, high = w[stump.feature, :stump.bin + 1].sum(axis=0), w[stump.feature, stump.bin + 1:].sum(axis=0)
+        right = (low[stump.left] + high[stump.right]) if stump.feature >= 0 else w[0].sum(axis=0)[stump.left]
+        assert math.isclose(right, 0.5, rel_tol=1e-6)
+    seen = fitted.transform(df)
+    assert seen.columns == ["features", "label", "prediction"]
+    assert seen.filter("label = prediction").count() > 2800
