@@ -218,3 +218,18 @@ def test_factorize_large_vocabulary(spark, monkeypatch):
     assert mapping.count() == 601
     back = clean.decode_codes(codes, "c", mapping)
     assert rows(back) == rows(df)
+
+
+def test_numeric_association_of_odd_columns(spark):
+    """Groups with a missing name, constant and infinite columns, pairs never known together; no aggregate per pair."""
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("a", 1.0, 0.1, 2.0, None, inf), ("a", 2.0, 0.1, 4.5, None, 1.0), ("a", 3.0, 0.1, None, 7.0, 2.0),
+                                (None, 1e9 + 1, 0.1, 6.0, 1.0, 3.0), (None, 1e9 + 2, 0.1, 7.0, 2.0, 4.0), (None, 1e9 + 4, 0.1, 8.0, 2.0, nan)],
+                               "g string, p double, q double, r double, s double, t double")
+    found = {(x["g"], x["col_a"], x["col_b"]): x["value"] for x in assoc.numeric_association(df, list("pqrst"), ["g"]).collect()}
+    assert len(found) == 40
+    assert found["a", "p", "r"] == pytest.approx(1.0) and found[None, "p", "s"] == pytest.approx(np.corrcoef([1, 2, 4], [1, 2, 2])[0, 1])
+    assert found["a", "p", "q"] is None and found["a", "r", "s"] is None and found["a", "p", "s"] is None
+    assert np.isnan(found["a", "p", "t"]) and np.isnan(found[None, "t", "s"])
+    plan = assoc.numeric_association(df, list("pqrst"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "corr(" not in plan
