@@ -1,14 +1,17 @@
 """Phrase collocation mining: phrases of two to four words that occur together far more often than their parts.
 
 Method, a multikey three-way quicksort of suffix pointers to the greatest depth. Every word position of a piece points
-at its suffix of at most four words. Equal suffixes are combined with a weight before any shuffle, so a line or passage
-that many documents share costs one row. Suffixes are then routed globally by their leading word: the leading words'
-totals are summed by Spark, suffixes whose leading word occurs fewer than ``least`` times are abandoned there, and the
-rest go to tasks by (lang, leading word, second word); a leading word with many suffixes is split over as many tasks as
-its rows need, by its second word. In a task, all segments are partitioned at once, round by round, into less, equal
-and greater than a pivot word at their depth; the weight of an equal partition is the count of its prefix, a partition
-below ``least`` is abandoned, a frequent one goes one word deeper, up to four. Every prefix of two or more words lies
-whole in one task (its first two words decide the task), so its count is exact; one-word counts come from Spark.
+at its suffix of at most four words. A first pass counts the words of each language; the frequent ones get numbers, and
+every task knows the most frequent ``vocabulary`` of them (all, if there are no more), so that a suffix is four small
+numbers. A suffix ends before its first infrequent word, since no frequent prefix contains one, and one left with a
+single word is abandoned; words beyond the known ones travel beside the numbers as text. Equal suffixes of a run of
+``CHUNK`` positions are combined with a weight before the shuffle, so a line or passage that many documents share costs
+few rows. Suffixes are routed globally by their leading word; a leading word with many suffixes is split over as many
+tasks as its rows need, by its second and third word. In a task, the suffixes of every leading word are partitioned at
+once, round by round, into less, equal and greater than a pivot word at their depth; the weight of an equal partition is
+the count of its prefix, a partition below ``least`` is abandoned, a frequent one goes one word deeper, up to four. Every
+prefix of three or more words lies whole in one task, so its count is exact, as does one of two words unless its leading
+word is split: then each task counts all of them, and Spark adds the parts up, as it does for one-word counts.
 
 Scores: a candidate (two to four words, a = f >= ``least``) is cut after each of its first words; l and r are the counts
 of both parts, score = floor(2 000 000 a / (l + r)), the lowest score counts, ties to the earliest cut. A candidate is
@@ -26,89 +29,259 @@ are counted whole.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablemirror.llm.common import framed, lower_ascii, only
+from tablemirror.llm.common import LOWER, UPPER, only
 from tablemirror.operators.joins import lookup
 from tablemirror.session import written
 
 # Fixed values of the contract.
-PIECE = "[.,;:!?\\x0A-\\x0D]"
-GAP = "[ \\t]+"
+PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 LEAST = 30
 LONGEST = 4
 SCORE_SCALE = 2_000_000
 INSIDE_PERCENT, OUTSIDE_PERCENT = 80, 100
 TOP = 2000
-TASK_ROWS = 200_000         # weighted suffixes a quicksort task takes
+TASK_ROWS = 400_000         # suffixes a quicksort task takes
+VOCABULARY = 500_000        # frequent words that every task knows
+CHUNK = 1 << 20             # word positions whose equal suffixes are combined
+SLICE = 1 << 20             # bytes of a text that are taken into words at once
+COUNTED = 500_000           # different words a task counts before it hands them on
+END, SKIP = -1, -2          # no word follows; nothing between two spaces
+# A-Z in lower case, every end of a piece as a line feed, a tab as a space: all of it ASCII, so bytes of UTF-8 can be mapped.
+PLAIN = bytes.maketrans(UPPER.encode() + PIECE_ENDS + b"\t", LOWER.encode() + b"\n" * len(PIECE_ENDS) + b" ")
+MIX = 2_654_435_761
+
+
+def tokens(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in order, with a line feed between pieces (and empty ones between spaces), slice by slice."""
+    data = text.translate(PLAIN).replace(b"\n", b" \n ")
+    start = 0
+    while start < len(data):
+        end = start + SLICE
+        if end < len(data):
+            space = data.rfind(b" ", start, end)
+            space = space if space >= 0 else data.find(b" ", end)
+            end = space + 1 if space >= 0 else len(data)
+        yield data[start:end].split(b" ")
+        start = end
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
+    return zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist())
+
+
+def _strings(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).view(pa.string())
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word, f of a task's texts, in parts."""
+    counts: dict[str, Counter] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, words in counts.items():
+            words.pop(b"", None)
+            words.pop(b"\n", None)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), _strings(list(words)),
+                                              pa.array(list(words.values()), pa.int64())], names=["lang", "word", "f"])
+        counts.clear()
+
+    for batch in batches:
+        for lang, text in _texts(batch):
+            for part in tokens(text):
+                counts.setdefault(lang, Counter()).update(part)
+        if sum(map(len, counts.values())) >= COUNTED:
+            yield from flush()
+    yield from flush()
+
+
+@dataclass
+class Vocabulary:
+    """The most frequent words; a word's number is its place."""
+
+    langs: list[str]
+    words: list[bytes]
+    splits: np.ndarray          # among how many tasks the suffixes that a word leads are split
+    closed: bool                # no other word is frequent
+
+    def numbers(self) -> dict[str, dict[bytes, int]]:
+        found: dict[str, dict[bytes, int]] = {}
+        for i, (lang, word) in enumerate(zip(self.langs, self.words)):
+            found.setdefault(lang, {})[word] = i
+        return found
+
+
+class _Numbers(dict):
+    """Word -> number in one language. Of other words nothing is known if the vocabulary is closed; else each gets the next
+    number behind the vocabulary, and ``others`` lists them."""
+
+    def __init__(self, lang: str, known: dict[bytes, int], vocabulary: Vocabulary, others: dict[tuple[str, bytes], int]):
+        super().__init__(known)
+        self[b""], self[b"\n"] = SKIP, END
+        self.lang, self.closed, self.first, self.others = lang, vocabulary.closed, len(vocabulary.words), others
+
+    def __missing__(self, word: bytes) -> int:
+        if self.closed:
+            return END
+        return self.others.setdefault((self.lang, word), self.first + len(self.others))
+
+
+def _packed(columns: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, all their second bytes and so on, which compress well."""
+    return columns.astype("<i4").reshape(-1).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(data: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(columns, -1)
+
+
+def _blocks(codes: np.ndarray, others: list[tuple[str, bytes]], vocabulary: Vocabulary, tasks: int) -> pa.RecordBatch:
+    """One row per task: the different suffixes of ``codes`` that it gets, with their weights."""
+    known = len(vocabulary.words)
+    shifted = np.concatenate([codes, np.full(LONGEST - 1, END)]).astype(np.int64)
+    suffix = [shifted[i:i + len(codes)] for i in range(LONGEST)]
+    rows = np.flatnonzero((suffix[0] >= 0) & (suffix[1] >= 0))
+    suffix = [s[rows] for s in suffix]
+    for i in range(2, LONGEST):
+        suffix[i] = np.where(suffix[i - 1] >= 0, suffix[i], END)
+    route = np.concatenate([np.arange(known, dtype=np.int64) * MIX,
+                            np.array([zlib.crc32(lang.encode() + b"\0" + word) for lang, word in others], dtype=np.int64),
+                            [0]]) & 0xFFFFFFFF                                  # the last one is END's
+    splits = np.concatenate([vocabulary.splits, np.ones(len(others) + 1, dtype=np.int64)])[suffix[0]]
+    part = (route[suffix[1]] * 31 + route[suffix[2]]) % 1_000_003 % splits
+    task = (route[suffix[0]] % tasks + part) % tasks
+    front, back = suffix[0] << 32 | suffix[1], (suffix[2] + 1) << 32 | (suffix[3] + 1)
+    order = np.lexsort((back, front, task))
+    front, back, task = front[order], back[order], task[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (front[1:] != front[:-1]) | (back[1:] != back[:-1]) | (task[1:] != task[:-1])
+    at = np.flatnonzero(new)
+    columns = np.stack([s[order[at]] for s in suffix] + [np.diff(np.r_[at, len(order)])])
+    task = task[at]
+    bounds = np.flatnonzero(np.r_[True, task[1:] != task[:-1]]) if len(task) else np.zeros(0, dtype=np.int64)
+    data, langs, words = [], [], []
+    for start, end in zip(bounds, np.r_[bounds[1:], len(task)]):
+        block = columns[:, start:end].copy()
+        far = block[:LONGEST] >= known
+        used, places = np.unique(block[:LONGEST][far], return_inverse=True)
+        block[:LONGEST][far] = known + places
+        data.append(_packed(block))
+        langs.append([others[u - known][0] for u in used])
+        words.append([others[u - known][1] for u in used])
+    return pa.RecordBatch.from_arrays([pa.array(task[bounds], pa.int64()), pa.array(data, pa.binary()),
+                                       pa.array(langs, pa.list_(pa.string())), pa.array(words, pa.list_(pa.binary()))],
+                                      names=["_task", "data", "langs", "words"])
+
+
+def _suffixes(handle: Broadcast, tasks: int, chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = handle.value
+        known = vocabulary.numbers()
+        numbers: dict[str, _Numbers] = {}
+        others: dict[tuple[str, bytes], int] = {}
+        found, size = [], 0
+        for batch in batches:
+            for lang, text in _texts(batch):
+                if lang not in numbers:
+                    numbers[lang] = _Numbers(lang, known.pop(lang, {}), vocabulary, others)
+                for part in tokens(text):
+                    codes = np.fromiter(map(numbers[lang].__getitem__, part), np.int32, len(part))
+                    found.append(codes[codes != SKIP])
+                    size += len(found[-1])
+                found.append(np.array([END], dtype=np.int32))
+                if size >= chunk:
+                    yield _blocks(np.concatenate(found), list(others), vocabulary, tasks)
+                    found, size = [], 0
+                    others.clear()
+        if size:
+            yield _blocks(np.concatenate(found), list(others), vocabulary, tasks)
+    return run
 
 
 def frequent_prefixes(keys: np.ndarray, weight: np.ndarray, least: int, first: int, seed: int = 7) -> list[tuple[int, int, int]]:
     """Bulk multikey three-way quicksort of suffixes ``keys`` (rows of word codes, -1 past the end) with ``weight``.
 
     Returns (row, depth, count) for every equal partition at depth >= ``first`` whose weight is at least ``least``: the
-    prefix keys[row, :depth + 1] occurs count times. Partitions below ``least`` are abandoned; at depths below ``first``
-    nothing is abandoned or returned (those counts are summed elsewhere).
+    prefix keys[row, :depth + 1] occurs count times. Partitions below ``least`` are abandoned. It begins with the segments
+    of rows that are equal in the first ``first`` words, whose counts are summed elsewhere.
     """
     rng = np.random.default_rng(seed)
     found: list[tuple[int, int, int]] = []
-    rows = np.arange(len(keys))
-    seg = np.zeros(len(keys), dtype=np.int64)        # segment of each active row; rows of a segment are contiguous
-    depth = np.zeros(1 if len(keys) else 0, dtype=np.int64)
+    columns = [np.ascontiguousarray(c) for c in keys.T]
+    rows = np.lexsort(columns[:first][::-1]) if first else np.arange(len(keys))
+    fresh = np.zeros(len(rows), dtype=bool)
+    fresh[:1] = True
+    for c in columns[:first]:
+        fresh[1:] |= c[rows[1:]] != c[rows[:-1]]
+    seg = np.cumsum(fresh) - 1                                  # segment of each active row; rows of a segment are contiguous
+    depth = np.full(int(fresh.sum()), first, dtype=np.int64)
+    flat = np.concatenate(columns) if len(keys) else np.zeros(0, dtype=np.int64)
     while len(rows):
         starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
         sizes = np.diff(np.r_[starts, len(rows)])
-        pivot_rows = rows[starts + (rng.random(len(starts)) * sizes).astype(np.int64)]
-        seg_depth = depth[seg[starts]]
-        pivots = keys[pivot_rows, seg_depth]
-        row_depth = np.repeat(seg_depth, sizes)
-        side = np.sign(keys[rows, row_depth] - np.repeat(pivots, sizes)) + 1      # 0 less, 1 equal, 2 greater
-        local = np.repeat(np.arange(len(starts)), sizes)
-        order = np.lexsort((side, local))
-        rows, side, local, row_depth = rows[order], side[order], local[order], row_depth[order]
-        part = local * 3 + side
-        bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        part_side = side[bounds]
-        part_depth = row_depth[bounds]
-        part_key = keys[rows[bounds], part_depth]
-        counts = np.add.reduceat(weight[rows], bounds) if len(rows) else np.zeros(0, dtype=np.int64)
-        equal = part_side == 1
-        keep_part = np.ones(len(bounds), dtype=bool)
-        next_depth = part_depth.copy()
-        ended = equal & (part_key < 0)                          # suffixes that end here extend nothing
-        judged = equal & ~ended & (part_depth >= first)
-        rare = judged & (counts < least)
-        for b in np.flatnonzero(judged & ~rare):
-            found.append((int(rows[bounds[b]]), int(part_depth[b]), int(counts[b])))
-        deepest = equal & ~ended & (part_depth + 1 >= keys.shape[1])
-        keep_part[ended | rare | deepest] = False
+        offset = depth * len(keys)
+        pivots = flat[rows[starts + (rng.random(len(starts)) * sizes).astype(np.int64)] + offset]
+        side = np.sign(flat[rows + offset[seg]] - pivots[seg]) + 1             # 0 less, 1 equal, 2 greater
+        part = seg * 3 + side
+        counts = np.bincount(part, weight[rows], 3 * len(starts)).astype(np.int64)     # exact below 2^53
+        keep = counts >= least
+        equal = np.arange(len(starts)) * 3 + 1
+        ended = pivots < 0                                      # suffixes that end here extend nothing
+        keep[equal[ended]] = False
+        frequent = np.flatnonzero(keep[equal])
+        shown = np.zeros(len(starts), dtype=np.int64)           # a row of each equal partition
+        same = side == 1
+        shown[seg[same]] = rows[same]
+        found += zip(shown[frequent].tolist(), depth[frequent].tolist(), counts[equal[frequent]].tolist())
+        keep[equal[depth + 1 >= len(columns)]] = False
+        next_depth = np.repeat(depth, 3)
         next_depth[equal] += 1
-        part_of_row = np.repeat(np.arange(len(bounds)), np.diff(np.r_[bounds, len(rows)]))
-        keep_row = keep_part[part_of_row]
-        rows, part_of_row = rows[keep_row], part_of_row[keep_row]
-        kept_parts, seg = np.unique(part_of_row, return_inverse=True)
-        depth = next_depth[kept_parts]
+        kept = keep[part]
+        rows, part = rows[kept], (np.cumsum(keep) - 1)[part[kept]]
+        # Few parts fit 16 bits, which numpy orders without comparing.
+        order = np.argsort(part.astype(np.uint16) if keep.sum() <= 1 << 16 else part, kind="stable")
+        rows, seg, depth = rows[order], part[order], next_depth[keep]
     return found
 
 
-def _sorted_in_task(least: int, longest: int):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        if batch.empty:
-            return framed([], ["lang", "phrase", "m", "f"])
-        lead, _ = pd.factorize(pd.MultiIndex.from_arrays([batch["lang"], batch["w0"]]))
-        words = pd.concat([batch[f"w{i}"] for i in range(1, longest)], ignore_index=True)
-        codes, vocab = pd.factorize(words)
-        keys = np.column_stack([lead.astype(np.int64), codes.astype(np.int64).reshape(longest - 1, len(batch)).T])
-        found = frequent_prefixes(keys, batch["weight"].to_numpy(np.int64), least, first=1)
-        cols = [batch[f"w{i}"].to_numpy(object) for i in range(longest)]
-        langs = batch["lang"].to_numpy(object)
-        out = [(langs[r], " ".join(cols[i][r] for i in range(d + 1)), d + 1, c) for r, d, c in found]
-        return framed(out, ["lang", "phrase", "m", "f"])
+def _sorted_in_task(handle: Broadcast, least: int):
+    def run(blocks: pa.Table) -> pa.Table:
+        vocabulary = handle.value
+        known = len(vocabulary.words)
+        others: dict[tuple[str, bytes], int] = {}
+        parts = []
+        for data, langs, words in zip(*(blocks.column(c).to_pylist() for c in ("data", "langs", "words"))):
+            part = _unpacked(data, LONGEST + 1)
+            if words:
+                numbers = np.array([others.setdefault(key, known + len(others)) for key in zip(langs, words)])
+                far = part[:LONGEST] >= known
+                part[:LONGEST][far] = numbers[part[:LONGEST][far] - known]
+            parts.append(part)
+        keys, weight = np.concatenate([p[:LONGEST] for p in parts], axis=1).T, np.concatenate([p[LONGEST] for p in parts])
+        split = np.concatenate([vocabulary.splits > 1, np.zeros(len(others), dtype=bool)])
+        found = [(keys[row, :depth + 1].tolist(), count) for row, depth, count in frequent_prefixes(keys, weight, least, first=1)
+                 if depth > 1 or not split[keys[row, 0]]]
+        # Two words of which the first is split over tasks: this task's part of their count.
+        shared = split[keys[:, 0]]
+        pairs, at = np.unique(keys[shared, 0].astype(np.int64) << 32 | keys[shared, 1], return_inverse=True)
+        sums = np.bincount(at, weight[shared], len(pairs)).astype(np.int64)
+        found += [([pair >> 32, pair & 0xFFFFFFFF], count) for pair, count in zip(pairs.tolist(), sums.tolist())]
+        langs = vocabulary.langs + [lang for lang, _ in others]
+        words = vocabulary.words + [word for _, word in others]
+        return pa.table({"lang": pa.array([langs[k[0]] for k, _ in found], pa.string()),
+                         "phrase": _strings([b" ".join([words[i] for i in k]) for k, _ in found]),
+                         "m": pa.array([len(k) for k, _ in found], pa.int64()),
+                         "f": pa.array([count for _, count in found], pa.int64())})
     return run
 
 
@@ -120,29 +293,24 @@ def quotient(num: Column, den: Column) -> Column:
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP,
-                 task_rows: int = TASK_ROWS) -> DataFrame:
+                 task_rows: int = TASK_ROWS, vocabulary: int = VOCABULARY, chunk: int = CHUNK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score for each language's best ``top`` collocations (see the module)."""
     rows = only(docs, text=text, lang=lang).select(F.coalesce("lang", F.lit("und")).alias("lang"),
-                                                   lower_ascii(F.col("text")).alias("text"))
-    pieces = rows.select("lang", F.explode(F.split("text", PIECE, -1)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", GAP, -1), lambda w: w != "").alias("ws")).filter(F.size("ws") > 0)
-    suffix = F.transform("ws", lambda w, i: F.slice("ws", i + 1, LONGEST))
-    weighted = words.select("lang", F.explode(suffix).alias("s")).groupBy("lang", "s").agg(F.count(F.lit(1)).alias("weight"))
-    weighted = written(weighted.select("lang", *[F.get("s", i).alias(f"w{i}") for i in range(LONGEST)], "weight"))
-
-    leads = written(weighted.groupBy("lang", "w0").agg(F.sum("weight").alias("f"), F.count(F.lit(1)).alias("rows")))
-    totals = leads.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = leads.filter(F.col("f") >= least)
-    splits = frequent.select("lang", "w0", F.ceil(F.col("rows") / F.lit(task_rows)).cast("long").alias("_splits"))
-    routed = lookup(weighted, splits, ["lang", "w0"], how="inner")
-    # Suffixes of one leading word go to one task unless it has many; then its second word chooses among _splits tasks.
-    routed = routed.withColumn("_split", F.pmod(F.xxhash64(F.coalesce("w1", F.lit(""))), F.col("_splits")))
-    rows_left = frequent.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    tasks = max(1, -(-rows_left // task_rows))
-    routed = routed.withColumn("_task", F.pmod(F.xxhash64("lang", "w0", "_split"), F.lit(tasks)))
-    deeper = routed.groupBy("_task").applyInPandas(_sorted_in_task(least, LONGEST),
-                                                   "lang string, phrase string, m long, f long")
-    phrases = written(frequent.select("lang", F.col("w0").alias("phrase"), F.lit(1).cast("long").alias("m"), "f")
+                                                   F.coalesce("text", F.lit("")).alias("text"))
+    counts = written(rows.mapInArrow(_word_counts, "lang string, word string, f long")
+                     .groupBy("lang", "word").agg(F.sum("f").alias("f")))
+    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+    frequent = counts.filter(F.col("f") >= least)
+    size = frequent.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("f"), F.lit(0)).alias("rows")).first()
+    tasks = max(1, -(-size["rows"] // task_rows))
+    known = frequent.orderBy(F.col("f").desc(), "lang", "word").limit(vocabulary).toArrow()     # bounded by ``vocabulary``
+    splits = -(-known.column("f").to_numpy() // task_rows)
+    handle = docs.sparkSession.sparkContext.broadcast(Vocabulary(
+        known.column("lang").to_pylist(), known.column("word").cast(pa.binary()).to_pylist(), splits, size["words"] <= vocabulary))
+    routed = rows.mapInArrow(_suffixes(handle, tasks, chunk), "_task long, data binary, langs array<string>, words array<binary>")
+    deeper = (routed.groupBy("_task").applyInArrow(_sorted_in_task(handle, least), "lang string, phrase string, m long, f long")
+              .groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
+    phrases = written(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).cast("long").alias("m"), "f")
                       .unionByName(deeper))
 
     candidates = phrases.filter(F.col("m") >= 2).select("lang", "phrase", "m", F.col("f").alias("a"),

@@ -3,6 +3,7 @@
 import collections
 import os
 import sys
+import zlib
 
 import duckdb
 import numpy as np
@@ -166,6 +167,40 @@ def test_collocations_hot_word_split_gives_the_same(spark):
     assert base == split and len(base) > 50
 
 
+def test_collocations_of_split_words_and_open_vocabulary_are_the_same(spark):
+    """Leading words split by second and third word, small runs, and words that only travel as text."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    base = sorted(tuple(r) for r in collocations.collocations(docs, least=5).collect())
+    for options in ({"task_rows": 20}, {"vocabulary": 40, "task_rows": 50, "chunk": 500}, {"vocabulary": 0, "chunk": 1000}):
+        assert sorted(tuple(r) for r in collocations.collocations(docs, least=5, **options).collect()) == base
+
+
+def test_collocation_suffixes_are_shuffled_as_small_numbers():
+    """Suffixes of infrequent words go nowhere, equal ones once, and the others take a few bytes each."""
+    rng = np.random.default_rng(5)
+    vocabulary = collocations.Vocabulary(["en"] * 2000, [b"w%d" % i for i in range(2000)], np.ones(2000, dtype=np.int64), True)
+    codes = rng.integers(0, 2000, 100_000)
+    blocks = collocations._blocks(codes, [], vocabulary, 4)
+    assert sorted(blocks.column("_task").to_pylist()) == [0, 1, 2, 3]
+    columns = [collocations._unpacked(b, 5) for b in blocks.column("data").to_pylist()]
+    assert sum(c[4].sum() for c in columns) == 99_999
+    squeezed = sum(len(zlib.compress(b, 1)) for b in blocks.column("data").to_pylist())
+    assert squeezed < 10 * 100_000
+    twice = collocations._blocks(np.concatenate([codes, [-1], codes]), [], vocabulary, 4)
+    assert sum(map(len, twice.column("data").to_pylist())) == sum(map(len, blocks.column("data").to_pylist()))
+    rare = np.where(np.arange(100_000) % 2 == 0, codes, -1)
+    assert collocations._blocks(rare, [], vocabulary, 4).num_rows == 0
+
+
+def test_collocation_words_of_long_texts_are_cut_at_spaces(monkeypatch):
+    text = "One two,three\tfour  \u00e9t\u00e9\u00a0x\u2003y; " * 50 + "z" * 300 + " end"
+    whole = [w for part in collocations.tokens(text.encode()) for w in part if w]
+    monkeypatch.setattr(collocations, "SLICE", 16)
+    parts = list(collocations.tokens(text.encode()))
+    assert len(parts) > 50 and [w for part in parts for w in part if w] == whole
+    assert whole[:7] == [b"one", b"two", b"\n", b"three", b"four", "\u00e9t\u00e9\u00a0x\u2003y".encode(), b"\n"]
+
+
 def test_collocation_cases(spark, odd):
     text = "Alpha beta gamma delta. " * 40 + "alpha beta, gamma delta; x\ty. " * 35
     rows = [(1, text, None), (2, None, "en"), (3, "", "en"), (1, text, None)]
