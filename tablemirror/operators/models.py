@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest)
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tablemirror.functions.scores import class_f1, f1_binary, jaccard_micro, mape, r2, score_columns
 from tablemirror.operators.features import FeatureMaker
 from tablemirror.operators.likelihood import bayes_net_likelihood, conditional_tables, mixture_likelihood
+from tablemirror.operators.perceptron import fit_perceptron
 from tablemirror.operators.trees import Binned, binned_vectors, counted_bins, dealt, fit_class_forest, fit_label_forest
 from tablemirror.schema import TableMeta, TablePair
 from tablemirror.session import cut, spread, written
@@ -107,8 +108,7 @@ def fit_tree(train: DataFrame, counts: dict[float, int], seed: int = 0):
 
 def fit_mlp(train: DataFrame, counts: dict[float, int], seed: int = 0, hidden: int = 100, max_iter: int = 50):
     width = train.select("features").first()["features"].size
-    return MultilayerPerceptronClassifier(layers=[width, hidden, max(2, _classes(counts))], maxIter=max_iter,
-                                          seed=seed).fit(train)
+    return fit_perceptron(train, [width, hidden, max(2, _classes(counts))], max_iter, seed)
 
 
 def fit_gbt(train: DataFrame, counts: dict[float, int], seed: int = 0, rounds: int = 20):

@@ -66,3 +66,49 @@ def test_boosting_takes_counted_rows(spark, monkeypatch):
     model = models.fit_classifier("xgboost", df, 7, rounds=5)
     assert seen[0][0] < 1200 and seen[0][1] == 3000
     assert model.transform(df).filter("label = prediction").count() == 3000
+
+
+def test_perceptron_is_the_one_spark_fits(spark):
+    """The same first weights, loss and steps as Spark's classifier, from packed rows."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    from tablemirror.operators import perceptron
+    df = _rows(spark).select("features", "label").cache()
+    layers = [3, 10, 2]
+    theirs = MultilayerPerceptronClassifier(layers=layers, maxIter=15, seed=3).fit(df).weights.toArray()
+    blocks, count = perceptron.packed(df.repartition(4))
+    assert count == 3000 and sum(r["n"] for r in blocks.collect()) == 3000
+    rows = df.collect()
+    x, y = np.array([r["features"].toArray() for r in rows]), np.array([int(r["label"]) for r in rows])
+
+    def loss(w):
+        hidden = 1 / (1 + np.exp(-(x @ w[:30].reshape(3, 10) + w[30:40])))
+        out = hidden @ w[40:60].reshape(10, 2) + w[60:]
+        return float((np.log(np.exp(out).sum(axis=1)) - out[np.arange(len(y)), y]).mean())
+
+    value, gradient = perceptron.block_sums(x.astype(np.float32), y, theirs, layers)
+    assert value / 3000 == pytest.approx(loss(theirs), abs=1e-5)
+    for i in (0, 35, 45, 61):
+        step = np.zeros(62)
+        step[i] = 1e-5
+        assert gradient[i] / 3000 == pytest.approx((loss(theirs + step) - loss(theirs - step)) / 2e-5, abs=1e-4)
+    model = perceptron.fit_perceptron(df, layers, 15, 3)
+    ours = model.weights.toArray()
+    assert loss(ours) <= loss(theirs) + 0.02 < 0.5            # the line searches differ in later steps
+    assert model.transform(df).filter("label = prediction").count() > 2400
+    once = perceptron.fit_perceptron(df, layers, 1, 3).weights.toArray()
+    assert np.abs(once - MultilayerPerceptronClassifier(layers=layers, maxIter=1, seed=3).fit(df).weights.toArray()).max() < 1e-3
+
+
+def test_perceptron_passes_are_matrix_products_over_packed_blocks(spark, monkeypatch):
+    """A pass reads a few blocks per task, dealt evenly, whatever lay where before."""
+    from tablemirror.operators import perceptron
+    monkeypatch.setattr(perceptron, "BLOCK", 100)
+    monkeypatch.setattr(perceptron, "TASK_ROWS", 500)
+    blocks, _ = perceptron.packed(_rows(spark).coalesce(1))
+    sizes = [sum(r["n"] for r in part) for part in blocks.rdd.glom().collect()]
+    assert len(sizes) == 6 and max(sizes) <= 700 and sum(sizes) == 3000
+    seen = []
+    monkeypatch.setattr(perceptron, "fit_perceptron", lambda train, layers, max_iter, seed: seen.append(layers) or "model")
+    monkeypatch.setattr(models, "fit_perceptron", perceptron.fit_perceptron)
+    assert models.fit_classifier("mlp", _rows(spark), 7) == "model" and seen == [[3, 100, 2]]
