@@ -386,3 +386,15 @@ def test_adaboost_rounds_are_sums_over_counted_bins(spark, monkeypatch):
     seen = fitted.transform(df)
     assert seen.columns == ["features", "label", "prediction"]
     assert seen.filter("label = prediction").count() > 2800
+
+
+def test_report_with_models_has_the_distances(spark, monkeypatch):
+    from functools import partial
+
+    from tablemirror.plans import closed_form_queries
+
+    monkeypatch.setattr(closed_form_queries, "report_with_models",
+                        partial(reports.report_with_models, models=["logistic_regression"], params={"logistic_regression": {"max_iter": 2}}))
+    rows = closed_form_queries.a15_models(spark, "/root/testdata/sf0.001").collect()
+    assert {r["name"] for r in rows} == {"logistic_regression_real", "logistic_regression_fake"}
+    assert all(r["Record_Distance"] > 0 and r["Neighbor_Mean"] > 0 and r["Neighbor_Std"] > 0 for r in rows)
