@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemirror.operators.joins import lookup
-from tablemirror.operators.mixture import fit_tables, mean_log_likelihood
+from tablemirror.operators.mixture import fit_tables, packed_log_likelihoods, packed_tables
 
 FLOOR = 1e-8    # added to a probability before its logarithm
 MISSING = "\u2205"   # a missing value; every known one is written with a leading "=", so both sort in value order
@@ -85,14 +85,14 @@ def mixture_likelihood(fake: DataFrame, test: DataFrame, columns: Sequence[str],
                        max_iter: int = 100) -> DataFrame:
     """``name, components, syn_likelihood, test_likelihood``: a mixture fitted on test scores fake, one
     fitted on fake scores test."""
-    fitted = fit_tables({"fake": fake, "test": test}, columns, components, max_iter)
-    out = None
-    for k in components:
-        syn = mean_log_likelihood(fake, columns, fitted["test", k])
-        held = mean_log_likelihood(test, columns, fitted["fake", k])
-        row = syn.select(F.col("loglik").alias("syn_likelihood")).crossJoin(
-            held.select(F.col("loglik").alias("test_likelihood")))         # one row each
-        row = row.select(F.lit("gaussian_mixture").alias("name"), F.lit(k).alias("components"),
-                         "syn_likelihood", "test_likelihood")
-        out = row if out is None else out.unionByName(row)
-    return out
+    tables = {"fake": fake, "test": test}
+    data = packed_tables(tables, columns)
+    fitted = fit_tables(tables, columns, components, max_iter, data=data)
+    models = {f"{kind}_{k}": (table, fitted[origin, k]) for k in components
+              for kind, table, origin in (("syn", "fake", "test"), ("test", "test", "fake"))}
+    found = packed_log_likelihoods(data, models)
+    value = lambda kind, k: F.max(F.when(F.col("name") == f"{kind}_{k}", F.col("loglik")))      # noqa: E731
+    cells = [F.struct(F.lit(k).alias("components"), value("syn", k).alias("syn_likelihood"), value("test", k).alias("test_likelihood"))
+             for k in components]
+    return found.agg(F.array(*cells).alias("cells")).select(F.inline("cells")).select(
+        F.lit("gaussian_mixture").alias("name"), "components", "syn_likelihood", "test_likelihood")

@@ -1,8 +1,8 @@
 """Gaussian mixtures fitted by distributed expectation maximisation.
 
-Every iteration is one Spark job: tasks turn Arrow batches into a few weighted sums per component,
-the sums are added up by a grouped aggregate, and the driver updates the (tiny) parameters. Several
-columns are fitted in the same job; equal values are compressed to counts beforehand.
+Equal values are compressed to counts and packed into blocks of columns once. Every iteration is one Spark job: a task
+turns its blocks into a few weighted sums per component by two matrix products, the sums are added up by a grouped
+aggregate, and the driver updates the (tiny) parameters. Several columns or tables are fitted in the same job.
 """
 
 from __future__ import annotations
@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablemirror.operators.profile import value_counts
-from tablemirror.session import spread
+from tablemirror.session import cut
 
 RIDGE = 1e-6    # added to variances
-CHUNK = 4096    # rows computed at once
-WORTH_SPREADING = 20_000     # different rows of a task: every iteration reads them again
+CHUNK = 1024    # rows computed at once: their densities stay in a core's cache
+PACKED_ROWS = 16_384         # rows of a packed block
+TASK_BLOCKS = 8              # blocks of a task: every iteration reads them again
+FEW_VALUES = 256             # a column of a block with no more values is packed as their numbers
+PACKED = "name string, n int, ones boolean, values array<binary>, codes array<binary>"
 
 
 @dataclass(frozen=True)
@@ -58,43 +61,112 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - inv2 * (1 / 12 - inv2 * (1 / 120 - inv2 * (1 / 252 - inv2 / 240)))
 
 
+def _pack_column(x: np.ndarray) -> tuple[bytes, bytes]:
+    values, codes = np.unique(x, return_inverse=True)
+    return (values.tobytes(), codes.astype("u1").tobytes()) if len(values) <= FEW_VALUES else (b"", x.tobytes())
+
+
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``PACKED_ROWS`` rows of one name, a column at a time: the numbers, and last their counts."""
+    kept: dict[str, list[np.ndarray]] = {}
+
+    def packed(name: str, rows: np.ndarray) -> pa.RecordBatch:
+        ones = bool((rows[-1] == 1.0).all())
+        parts = [_pack_column(x) for x in (rows[:-1] if ones else rows)]
+        return pa.RecordBatch.from_arrays([
+            pa.array([name]), pa.array([rows.shape[1]], pa.int32()), pa.array([ones]), pa.array([[v for v, _ in parts]], pa.list_(pa.binary())),
+            pa.array([[c for _, c in parts]], pa.list_(pa.binary()))], names=["name", "n", "ones", "values", "codes"])
+
+    for batch in batches:
+        named = batch.column("name").dictionary_encode()
+        where = named.indices.to_numpy()
+        numbers = [c for c in batch.schema.names if c not in ("name", "cnt")]
+        rows = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in (*numbers, "cnt")], dtype=float)
+        for at, name in enumerate(named.dictionary.to_pylist()):
+            parts = kept.setdefault(name, [])
+            parts.append(rows[:, where == at])
+            if sum(p.shape[1] for p in parts) >= PACKED_ROWS:
+                whole = np.concatenate(parts, axis=1)
+                full = whole.shape[1] // PACKED_ROWS * PACKED_ROWS
+                for start in range(0, full, PACKED_ROWS):
+                    yield packed(name, np.ascontiguousarray(whole[:, start:start + PACKED_ROWS]))
+                kept[name] = [whole[:, full:]]
+    for name, parts in kept.items():
+        rows = np.concatenate(parts, axis=1)
+        if rows.shape[1]:
+            yield packed(name, np.ascontiguousarray(rows))
+
+
+def packed_blocks(data: DataFrame) -> DataFrame:
+    """``name, x..., cnt`` as packed blocks (see ``PACKED``), dealt evenly over tasks."""
+    blocks = cut(data.mapInArrow(_packed_rows, PACKED))
+    return cut(blocks.repartition(max(1, -(-blocks.count() // TASK_BLOCKS))))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Name, numbers (a row per dimension) and weights of every block."""
+    for batch in batches:
+        for name, n, ones, values, codes in zip(*(batch.column(c).to_pylist() for c in ("name", "n", "ones", "values", "codes"))):
+            rows = np.array([np.frombuffer(v)[np.frombuffer(c, "u1")] if v else np.frombuffer(c) for v, c in zip(values, codes)])
+            yield (name, rows, np.ones(n)) if ones else (name, rows[:-1], rows[-1])
+
+
+def _terms(model: Mixture) -> np.ndarray:
+    """(k, 2 d + 1) factors of the numbers, their squares and one, which add up to the log joint densities."""
+    inverse = 1.0 / model.variances
+    rest = model.offsets - 0.5 * (model.means ** 2 * inverse).sum(axis=1)
+    return np.hstack([model.means * inverse, -0.5 * inverse, rest[:, None]])
+
+
+def _powers(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, x ** 2, np.ones((1, x.shape[1]))])
+
+
 def _sums(models: dict[str, Mixture], centres: dict[str, np.ndarray], tables: dict[str, str]):
-    """Of one task: the weighted sums of every model over the rows of its table, added up over all batches."""
+    """Of one task: the weighted sums of every model over the rows of its table, added up over all blocks."""
+    terms = {name: _terms(model) for name, model in models.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list] = {}
-        for batch in batches:
-            named = batch.column("name").dictionary_encode()
-            where, weights = named.indices.to_numpy(), batch.column("cnt").to_numpy(zero_copy_only=False).astype(float)
-            values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False)
-                                      for c in batch.schema.names if c not in ("name", "cnt")])
-            for at, table in enumerate(named.dictionary.to_pylist()):
-                rows = np.flatnonzero(where == at)
-                for start in range(0, len(rows), CHUNK):
-                    part = rows[start:start + CHUNK]
-                    for name in (n for n in models if tables[n] == table):
-                        total = sums.setdefault(name, [0.0, 0.0, 0.0, 0.0])
-                        for i, one in enumerate(_expected(models[name], values[part] - centres[name], weights[part])):
-                            total[i] = total[i] + one
+        for table, x, weights in _blocks(batches):
+            # Models of one table share its centre.
+            wanted = [n for n in models if tables[n] == table]
+            if not wanted:
+                continue
+            centred = x - centres[wanted[0]][:, None]
+            for start in range(0, x.shape[1], CHUNK):
+                powers, w = _powers(centred[:, start:start + CHUNK]), weights[start:start + CHUNK]
+                for name in wanted:
+                    total = sums.setdefault(name, [0.0, 0.0])
+                    for i, one in enumerate(_expected(terms[name], powers, w)):
+                        total[i] = total[i] + one
         out = []
-        for name, (r, rx, rxx, loglik) in sums.items():
-            k, d = rx.shape
+        for name, (moments, loglik) in sums.items():
+            k, d = len(moments), moments.shape[1] // 2
             out.append(pd.DataFrame({
                 "name": name, "k": np.repeat(np.arange(k, dtype="int32"), d), "dim": np.tile(np.arange(d, dtype="int32"), k),
-                "r": np.repeat(r, d), "rx": rx.ravel(), "rxx": rxx.ravel(),
+                "r": np.repeat(moments[:, -1], d), "rx": moments[:, :d].ravel(), "rxx": moments[:, d:-1].ravel(),
                 "loglik": np.where(np.arange(k * d) == 0, loglik, 0.0)}))
         if out:
             yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
     return run
 
 
-def _expected(model: Mixture, x: np.ndarray, w: np.ndarray) -> tuple:
-    """Weighted responsibilities, their first and second moments and the log likelihood of some rows."""
-    logs = model.log_densities(x)
-    top = logs.max(axis=1, keepdims=True)
-    e = np.exp(logs - top)
-    total = e.sum(axis=1, keepdims=True)
-    e *= w[:, None] / total
-    return e.sum(axis=0), e.T @ x, e.T @ x ** 2, float(((np.log(total) + top)[:, 0] * w).sum())
+def _log_totals(terms: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Densities (k, n) divided by the largest of their column, their totals, and the logarithms of the whole densities."""
+    logs = terms @ powers
+    top = logs.max(axis=0)
+    logs -= top
+    np.exp(logs, out=logs)
+    total = logs.sum(axis=0)
+    return logs, total, np.log(total) + top
+
+
+def _expected(terms: np.ndarray, powers: np.ndarray, w: np.ndarray) -> tuple:
+    """First and second moments and sums of the weighted responsibilities, and the log likelihood of some rows."""
+    e, total, logs = _log_totals(terms, powers)
+    e *= w / total
+    return e @ powers.T, float(logs @ w)
 
 
 def _step(data: DataFrame, models: dict[str, Mixture], centres: dict[str, np.ndarray],
@@ -167,7 +239,7 @@ def _fit(data: DataFrame, start: dict[str, Mixture], centres: dict[str, np.ndarr
 def fit_columns(df: DataFrame, columns: Sequence[str], components: int = 10, bayesian: bool = True,
                 concentration: float = 0.001, max_iter: int = 100, tolerance: float = 1e-3) -> dict[str, Mixture]:
     """One 1-D mixture per column, all in the same jobs; started from evenly spaced quantiles."""
-    data = spread(value_counts(df, columns, "double").filter(~F.isnan("value")), WORTH_SPREADING)
+    data = packed_blocks(value_counts(df, columns, "double").filter(~F.isnan("value")))
     quantiles = [(i + 0.5) / components for i in range(components)]
     row = df.agg(*[agg for i, c in enumerate(columns) for agg in (
         F.avg(F.col(c).cast("double")).alias(f"m{i}"), F.var_samp(F.col(c).cast("double")).alias(f"v{i}"),
@@ -193,27 +265,35 @@ def fit_rows(df: DataFrame, columns: Sequence[str], components: int, max_iter: i
     return fit_tables({"row": df}, columns, [components], max_iter, tolerance)["row", components]
 
 
-def fit_tables(dfs: dict[str, DataFrame], columns: Sequence[str], components: Sequence[int], max_iter: int = 100,
-               tolerance: float = 1e-3) -> dict[tuple[str, int], Mixture]:
-    """``fit_rows`` of every table with every number of components, all in the same jobs."""
-    columns = list(columns)
-    numbers = [F.col(f"`{c}`").cast("double") for c in columns]
+def packed_tables(dfs: dict[str, DataFrame], columns: Sequence[str]) -> DataFrame:
+    """The numbers of several tables as packed blocks, equal rows counted."""
     data = None
     for table, df in dfs.items():
-        one = df.select(F.lit(table).alias("name"), *[x.alias(f"x{i}") for i, x in enumerate(numbers)])
+        one = df.select(F.lit(table).alias("name"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
         data = one if data is None else data.unionByName(one)
-    data = spread(data.groupBy(*data.columns).agg(F.count(F.lit(1)).alias("cnt")), WORTH_SPREADING)
+    return packed_blocks(data.groupBy(*data.columns).agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def fit_tables(dfs: dict[str, DataFrame], columns: Sequence[str], components: Sequence[int], max_iter: int = 100,
+               tolerance: float = 1e-3, data: DataFrame | None = None) -> dict[tuple[str, int], Mixture]:
+    """``fit_rows`` of every table with every number of components, all in the same jobs.
+
+    ``data``: the tables' ``packed_tables``, if they have been made already."""
+    columns = list(columns)
+    numbers = [F.col(f"`{c}`").cast("double") for c in columns]
+    data = packed_tables(dfs, columns) if data is None else data
     start, centres, rows, tables = {}, {}, {}, {}
+    wanted = [(i + 0.5) / k for k in components for i in range(k)]
     for table, df in dfs.items():
-        wanted = {k: [(i + 0.5) / k for i in range(k)] for k in components}
         row = df.agg(*[agg for i, x in enumerate(numbers) for agg in (
-            F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"),
-            *[F.percentile_approx(x, q, 10000).alias(f"q{i}_{k}") for k, q in wanted.items()])],
+            F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}"), F.percentile_approx(x, wanted, 10000).alias(f"q{i}"))],
             F.count(F.lit(1)).alias("n")).first()
         centre = np.array([row[f"m{i}"] for i in range(len(columns))])
         spreads = np.array([max(row[f"v{i}"], RIDGE) for i in range(len(columns))])
+        at = 0
         for k in components:
-            grid = np.array([row[f"q{i}_{k}"] for i in range(len(columns))], dtype=float).T - centre
+            grid = np.array([row[f"q{i}"][at:at + k] for i in range(len(columns))], dtype=float).T - centre
+            at += k
             for j in range(grid.shape[1]):
                 # A different order per dimension, or all centres would lie on one line.
                 grid[:, j] = grid[(np.arange(k) * (2 * j + 1) + j) % k, j]
@@ -227,6 +307,27 @@ def fit_tables(dfs: dict[str, DataFrame], columns: Sequence[str], components: Se
             for n, m in fitted.items()}
 
 
+def packed_log_likelihoods(data: DataFrame, models: dict[str, tuple[str, Mixture]]) -> DataFrame:
+    """``name, loglik``: the mean log density of the rows of a packed table under every model, given with its table's name.
+
+    Rows with an unknown number have no density; they are not counted either."""
+    # Numbers are taken from the middle of the components, as while fitting.
+    centres = {n: m.weights @ m.means / m.weights.sum() for n, (_, m) in models.items()}
+    terms = {n: _terms(Mixture(m.weights, m.means - centres[n], m.variances, m.offsets)) for n, (_, m) in models.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, x, weights in _blocks(batches):
+            known = ~np.isnan(x).any(axis=0)
+            x, w = x[:, known], weights[known]
+            wanted = [n for n in models if models[n][0] == table]
+            sums = [sum(float(_log_totals(terms[n], _powers(x[:, at:at + CHUNK] - centres[n][:, None]))[2] @ w[at:at + CHUNK])
+                        for at in range(0, x.shape[1], CHUNK)) for n in wanted]
+            if wanted:
+                yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(sums, pa.float64()), pa.array([float(w.sum())] * len(wanted))],
+                                                 names=["name", "s", "n"])
+    return data.mapInArrow(run, "name string, s double, n double").groupBy("name").agg((F.sum("s") / F.sum("n")).alias("loglik"))
+
+
 def mean_log_likelihood(df: DataFrame, columns: Sequence[str], model: Mixture) -> DataFrame:
     """``loglik``: mean log density per row."""
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

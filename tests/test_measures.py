@@ -398,3 +398,39 @@ def test_report_with_models_has_the_distances(spark, monkeypatch):
     rows = closed_form_queries.a15_models(spark, "/root/testdata/sf0.001").collect()
     assert {r["name"] for r in rows} == {"logistic_regression_real", "logistic_regression_fake"}
     assert all(r["Record_Distance"] > 0 and r["Neighbor_Mean"] > 0 and r["Neighbor_Std"] > 0 for r in rows)
+
+
+def test_mixture_passes_read_packed_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from tablemirror.operators import mixture
+
+    monkeypatch.setattr(mixture, "PACKED_ROWS", 700)
+    monkeypatch.setattr(mixture, "TASK_BLOCKS", 2)
+    # More different numbers than a block lists, few, and equal rows: 3000 different ones, 500 of them twice.
+    ids = spark.range(3500).select((F.col("id") % 3000).alias("i"))
+    low = ids.select((F.col("i") * 37 % 2999 / 7).alias("a"), (F.col("i") % 5).cast("double").alias("b"))
+    high = low.select((F.col("a") * 3 + 1000).alias("a"), "b")
+    data = mixture.packed_tables({"low": low, "high": high}, ["a", "b"])
+    assert data.count() <= 2 * (3000 // 700 + 1) + 8 and data.agg(F.sum("n")).first()[0] == 6000
+    seen = {}
+    for name, x, w in mixture._blocks(data.toArrow().to_batches()):
+        seen.setdefault(name, []).append(np.repeat(x, w.astype(int), axis=1))
+    for name, df in (("low", low), ("high", high)):
+        rows = np.array(df.collect())
+        assert np.array_equal(np.array(sorted(np.concatenate(seen[name], axis=1).T.tolist())), np.array(sorted(rows.tolist())))
+        # One step of three components against the densities written out.
+        model = mixture.Mixture(np.array([0.2, 0.3, 0.5]), np.quantile(rows, [0.2, 0.5, 0.8], axis=0), np.array([[9e3, 2.0]] * 3) * rows.var(axis=0).mean() / 9e3,
+                                np.zeros(3))
+        model = mixture.Mixture(model.weights, model.means, model.variances, mixture.plain_offsets(model.weights, model.variances))
+        dense = np.exp(-((rows[:, None] - model.means) ** 2 / model.variances).sum(axis=2) / 2) * model.weights / np.sqrt(
+            (2 * math.pi * model.variances).prod(axis=1))
+        share = dense / dense.sum(axis=1, keepdims=True)
+        centre = rows.mean(axis=0)
+        moved = mixture.Mixture(model.weights, model.means - centre, model.variances, model.offsets)
+        r, rx, rxx, loglik = mixture._step(data, {name: moved}, {name: centre}, {name: name})[name]
+        assert np.allclose(r, share.sum(axis=0)) and np.allclose(rx, share.T @ (rows - centre)) and np.allclose(rxx, share.T @ (rows - centre) ** 2)
+        assert math.isclose(loglik, np.log(dense.sum(axis=1)).sum(), rel_tol=1e-9)
+        found = mixture.packed_log_likelihoods(data, {"m": (name, model)}).first()
+        assert math.isclose(found["loglik"], np.log(dense.sum(axis=1)).mean(), rel_tol=1e-9)
+        assert math.isclose(found["loglik"], mixture.mean_log_likelihood(df, ["a", "b"], model).first()[0], rel_tol=1e-9)
