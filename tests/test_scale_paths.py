@@ -233,3 +233,35 @@ def test_numeric_association_of_odd_columns(spark):
     assert np.isnan(found["a", "p", "t"]) and np.isnan(found[None, "t", "s"])
     plan = assoc.numeric_association(df, list("pqrst"))._jdf.queryExecution().optimizedPlan().toString()
     assert "corr(" not in plan
+
+
+def test_nearest_costs_leave_little_on_disk(spark, monkeypatch):
+    """Between the steps rows are plain columns, and what is used up is removed: only the answer's tables are left."""
+    import glob
+    import os
+
+    from tablemirror.session import cut
+
+    cut(spark.range(1))
+    folder = spark.sparkContext.getCheckpointDir().split(":", 1)[-1]
+    size = lambda: sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**/*", recursive=True) if os.path.isfile(f))
+    n = 40_000
+    df = spark.range(2 * n).select("id", F.array(*[(F.xxhash64("id", F.lit(i)) % 50).cast("double") for i in range(11)],
+                                                 (F.xxhash64("id") % 1_000_003).cast("double")).alias("vec"), F.array().cast("array<int>").alias("codes"))
+    before = size()
+    found = nearest.nearest_costs(df.filter(f"id < {n}").drop("id"), df.filter(f"id >= {n}").drop("id"))
+    assert found.agg(F.sum("weight")).first()[0] == n
+    # 12 numbers as doubles are 96 bytes, of each query alone.
+    assert size() - before < n * 96
+
+
+@pytest.mark.parametrize("n", [1, 499, 2500, 4999])
+def test_samples_of_known_tables_need_one_histogram(spark, n, monkeypatch):
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("x"))
+    want = {r["id"] for r in sample.exact_sample(df, n, ["id"], 3).collect()}
+    assert {r["id"] for r in sample.exact_sample(df, n, ["id"], 3, rows=5000).collect()} == want and len(want) == n
+    # Copies move the n-th hash away from its place.
+    copies = df.select(F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("id"))
+    got = sample.exact_sample(copies, n, seed=3, rows=5000)
+    assert got.count() == n
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in sample.exact_sample(copies, n, seed=3).collect())
