@@ -5,8 +5,9 @@
 2. Each node is posted under its (coordinate, value) pairs. Two signatures with at least ``matches`` equal coordinates
    share one of the first ``coordinates - matches + 1`` pairs in any common order; pairs are ordered by how often they
    occur in the corpus, rarest first, so most nodes end with pairs of their own and are posted nowhere.
-3. Posting lists that share a node form a candidate group (components over stars, one row a posting). Groups are cut
-   into blocks; a task sees two blocks, counts signature collisions, skips pairs below ``matches`` or of impossible
+3. Inside a posting list the signatures are compared, and a spanning forest of the pairs with at least ``matches`` equal
+   coordinates is kept; its components are the candidate groups. (Lists that merely share a node would hang together in
+   ever larger groups as the corpus grows.) Groups are cut into blocks; a task sees two blocks, counts signature collisions, skips pairs below ``matches`` or of impossible
    sizes, and confirms the rest on the full sets. It returns a spanning forest of the confirmed links, never all pairs.
    In a group of several blocks all members are first held against the first block; after that, members that are already
    in the group's largest component are not compared with each other.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,21 +99,88 @@ def sketches(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
 
 
 def postings(nodes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """_node, _token: the posting lists' entries that candidates must share."""
+    """_node, _token, _tokens: the posting lists' entries that candidates must share, and all pairs of the node that occur
+    more than once: equal coordinates are among them."""
     tokens = nodes.select("_node", F.explode("_signature").alias("_token"))
     shared = tokens.groupBy("_token").count().filter("count > 1")
     kept = tokens.join(shared, "_token").groupBy("_node").agg(
         F.array_sort(F.collect_list(F.struct("count", "_token"))).alias("_shared"))
     # Pairs that occur once come first in the order and are posted nowhere.
     prefix = F.size("_shared") - F.lit(matches - 1)
-    return kept.filter(prefix > 0).select("_node", F.explode(F.slice("_shared", 1, prefix)).alias("_t")).select(
-        "_node", F.col("_t._token").alias("_token"))
+    return kept.filter(prefix > 0).select(
+        "_node", F.col("_shared._token").alias("_tokens"), F.explode(F.slice("_shared", 1, prefix)).alias("_t")).select(
+        "_node", F.col("_t._token").alias("_token"), "_tokens")
 
 
-def candidate_groups(posted: DataFrame) -> DataFrame:
-    """node, component: posting lists joined by the nodes they share."""
-    hubs = posted.groupBy("_token").agg(F.min("_node").alias("_hub"))
-    return components(posted.join(hubs, "_token").select("_hub", "_node").filter("_hub <> _node").distinct(), "_hub", "_node")
+def _signatures(tokens: pa.ListArray, coordinates: int) -> np.ndarray:
+    """Rows of coordinates; one that is not given equals no other."""
+    out = np.repeat(-1 - np.arange(len(tokens))[:, None], coordinates, axis=1)
+    flat = tokens.flatten().to_numpy()
+    out[np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy()), flat & 255] = flat
+    return out
+
+
+def _forest(signatures: np.ndarray, matches: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with enough equal coordinates; whoever is reached is not compared again."""
+    links, left, open_ = [], np.arange(1, len(signatures)), [0]
+    while len(left):
+        if not open_:
+            open_, left = [int(left[0])], left[1:]
+            continue
+        at = open_.pop()
+        near = (signatures[left] == signatures[at]).sum(axis=1) >= matches
+        if near.any():
+            found = left[near].tolist()
+            links += [(at, x) for x in found]
+            open_ += found
+            left = left[~near]
+    return links
+
+
+def signature_links(posted: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """_a, _b: a spanning forest, per posting list, of the nodes with enough equal coordinates."""
+    kind = posted.schema["_node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(lists: pa.Table) -> pa.RecordBatch:
+            tokens = lists.column("_token").to_numpy()
+            signatures = _signatures(lists.column("_tokens").combine_chunks(), coordinates)
+            starts = np.flatnonzero(np.r_[True, np.diff(tokens) != 0])
+            sizes = np.diff(np.r_[starts, len(tokens)])
+            twos = starts[sizes == 2]
+            twos = twos[(signatures[twos] == signatures[twos + 1]).sum(axis=1) >= matches]
+            pairs = [(twos, twos + 1)]
+            for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                if found := _forest(signatures[start:start + size], matches):
+                    a, b = np.array(found).T
+                    pairs.append((a + start, b + start))
+            nodes = lists.column("_node").combine_chunks()
+            return pa.RecordBatch.from_arrays([nodes.take(pa.array(np.concatenate(side))) for side in zip(*pairs)], names=["_a", "_b"])
+
+        # Sorted by token; the last list of a batch may go on in the next one.
+        kept: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens = batch.column("_token").to_numpy()
+            first, last = int(tokens[0]), int(np.searchsorted(tokens, tokens[-1]))
+            if kept and last == 0 and kept[-1].column("_token")[-1].as_py() == first:
+                kept.append(pa.Table.from_batches([batch]))
+                continue
+            kept.append(pa.Table.from_batches([batch.slice(0, last)]))
+            if (whole := pa.concat_tables(kept)).num_rows:
+                yield links(whole)
+            kept = [pa.Table.from_batches([batch.slice(last)])]
+        if kept:
+            yield links(pa.concat_tables(kept))
+
+    return (posted.select("_token", "_node", "_tokens").repartition("_token").sortWithinPartitions("_token")
+            .mapInArrow(run, f"_a {kind}, _b {kind}"))
+
+
+def candidate_groups(posted: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """node, component: nodes that hang together by pairs of similar signatures."""
+    return components(signature_links(posted, coordinates, matches), "_a", "_b")
 
 
 class Sets:
@@ -211,7 +280,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nodes = written(sketched.filter("_set IS NOT NULL AND _id IS NOT NULL").groupBy("_set").agg(
         F.min("_id").alias("_node"), F.first("_signature").alias("_signature"), F.count(F.lit(1)).alias("_copies")))
 
-    groups = written(candidate_groups(written(postings(nodes, coordinates, matches))).select(
+    groups = written(candidate_groups(postings(nodes, coordinates, matches), coordinates, matches).select(
         F.col("node").alias("_node"), F.col("component").alias("_group")))
     wanted = groups.join(nodes.select("_node", "_signature", "_set"), "_node")
     full = with_shingles(rows, wanted, size)

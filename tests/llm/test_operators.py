@@ -528,3 +528,35 @@ def test_pipeline_edges(spark, odd, none):
             docs = corpus_pipeline.written(stage(spark, docs, SMALL))
             assert name == "packing" or docs.columns == columns
         assert docs.filter("doc_id IS NULL").count() == (1 if columns and docs.count() else 0)
+
+
+def test_candidate_groups_do_not_chain_lists(spark):
+    """Nodes in a row, each sharing one posted pair with the next but few coordinates: no group. Similar ones: groups."""
+    rng = np.random.default_rng(5)
+    coordinates, matches = 32, 17
+    base = (rng.integers(1, 1 << 50, (60, coordinates)) << 8) | np.arange(coordinates)
+    for i in range(59):
+        base[i + 1, i % 32] = base[i, i % 32]
+    base[20:23, :18] = base[20, :18]
+    base[22, :2] = base[40, :2]
+    base[40:42, 10:] = base[40, 10:]
+    rows = [(f"n{i:02d}", [int(v) for v in r]) for i, r in enumerate(base)]
+    nodes = spark.createDataFrame(rows, "_node string, _signature array<long>")
+    posted = minhash.postings(nodes, coordinates, matches)
+    # Every node in one long list too, longer than a batch.
+    long = nodes.select(F.lit(7).cast("long").alias("_token"), "_node", F.col("_signature").alias("_tokens"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for lists in (posted, posted.select("_token", "_node", "_tokens").unionByName(long)):
+            groups: dict = {}
+            for r in minhash.candidate_groups(lists, coordinates, matches).collect():
+                groups.setdefault(r["component"], set()).add(r["node"])
+            want = {i: {j for j in range(60) if j != i and (base[i] == base[j]).sum() >= matches} for i in range(60)}
+            assert want[20] and want[40] and sum(bool(w) for w in want.values()) < 8
+            for i, near in want.items():
+                for j in near:
+                    assert any({f"n{i:02d}", f"n{j:02d}"} <= g for g in groups.values())
+            assert sorted(x for g in groups.values() for x in g) == sorted(f"n{i:02d}" for i in range(60) if want[i])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
